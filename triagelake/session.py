@@ -78,5 +78,5 @@ def hot_keys(df: DataFrame, key: str | Column, share: float = 0.02) -> list:
     """
     col = F.col(key) if isinstance(key, str) else key
     counts = df.groupBy(col.alias("k")).agg(F.count(F.lit(1)).alias("n")).where("k is not null")
-    total = counts.agg(F.sum("n").alias("t"))
-    return [r["k"] for r in counts.crossJoin(F.broadcast(total)).where(F.col("n") >= F.col("t") * share).select("k").collect()]
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return [r["k"] for r in counts.where(F.col("n") >= total * share).select("k").collect()]
