@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
 MIN_WORDS = 20
-SKETCH_BITS = 18
-SKETCH_PARTS = 16
+SKETCH_BITS = 22
+SKETCH_PARTS = 64
 FLUSH = 1_500_000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -96,33 +96,42 @@ class Sketch:
     """
 
     def __init__(self) -> None:
-        self.counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        self.counts = np.zeros(1 << SKETCH_BITS, np.int32)
+        self.held: list[np.ndarray] = []
+        self.n = 0
 
     def add(self, g: np.ndarray) -> None:
-        self.counts += np.bincount((g & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS)
+        self.held.append(g)
+        self.n += len(g)
+        if self.n > 1 << SKETCH_BITS:
+            self.fold()
+
+    def fold(self) -> None:
+        if self.held:
+            g = (np.concatenate(self.held) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+            self.counts += np.bincount(g, minlength=1 << SKETCH_BITS).astype(np.int32)
+            self.held, self.n = [], 0
 
     def rows(self) -> list[tuple[int, bytes]]:
-        parts = np.split(np.minimum(self.counts, 2**31 - 1).astype(np.int32), SKETCH_PARTS)
-        return [(i, zlib.compress(p.tobytes(), 1)) for i, p in enumerate(parts)]
+        self.fold()
+        return [(i, zlib.compress(p.tobytes(), 1)) for i, p in enumerate(np.split(self.counts, SKETCH_PARTS))]
 
 
 def merged_sketch(df: DataFrame) -> np.ndarray:
-    """Sum sketch rows (``part`` int, ``counts`` binary); 2 MB on the driver."""
-
-    def add(it):
-        total: dict[int, np.ndarray] = {}
-        for pdf in it:
-            for part, blob in zip(pdf["part"], pdf["counts"]):
-                c = np.frombuffer(zlib.decompress(blob), np.int32).astype(np.int64)
-                total[part] = total[part] + c if part in total else c
-        yield pd.DataFrame(
-            {"part": list(total), "counts": [zlib.compress(np.minimum(c, 2**31 - 1).astype(np.int32).tobytes(), 1) for c in total.values()]}
-        )
-
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    """Sum sketch rows (``part`` int, ``counts`` binary) to one byte a bucket,
+    which grows with the logarithm of the count; 4 MB on the driver."""
     width = (1 << SKETCH_BITS) // SKETCH_PARTS
-    for r in df.repartition(SKETCH_PARTS, "part").mapInPandas(add, "part int, counts binary").collect():
-        out[r.part * width : (r.part + 1) * width] += np.frombuffer(zlib.decompress(r.counts), np.int32)
+
+    def add(pdf):
+        total = np.zeros(width, np.int64)
+        for blob in pdf["counts"]:
+            total += np.frombuffer(zlib.decompress(blob), np.int32)
+        level = np.minimum(8 * np.log2(1.0 + total), 255).astype(np.uint8)
+        return pd.DataFrame({"part": pdf["part"][:1], "counts": [zlib.compress(level.tobytes(), 1)]})
+
+    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for r in df.groupBy("part").applyInPandas(add, "part int, counts binary").collect():
+        out[r.part * width : (r.part + 1) * width] = np.frombuffer(zlib.decompress(r.counts), np.uint8)
     return out
 
 

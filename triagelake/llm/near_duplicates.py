@@ -6,7 +6,8 @@ bucketed frequency count over all data); the first ``n - ceil(t*n) + 1`` of
 them suffice to meet every text alike by ``t`` or more.  Blocks of runs are
 multiplied with numpy, overlap counts are added up per pair over all blocks,
 and pairs whose overlap cannot reach ``ceil(t/(1+t) * (na + nb))`` are
-discarded.  The pairs left are counted exactly on whole texts.
+discarded.  The pairs left are counted on whole texts (runs told apart by 32
+bits of their hash within a pair).
 
 Texts with the same set of runs form one class and go through the product
 once, so groups of copies cost one member; classes are reported as membership
@@ -29,6 +30,7 @@ from triagelake.llm import _grams as G
 from triagelake.session import staged
 
 THRESHOLD = 0.6
+ROUTE_SLICES = 64
 
 
 def _values(df: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
@@ -134,36 +136,48 @@ def near_duplicates(df: DataFrame, row_id: str, fields: list[str], threshold: fl
     rest = F.greatest(F.ceil(t * F.col("na") - 1e-9), F.ceil(t * F.col("nb") - 1e-9)) - 1
     found = staged(G.product(packed, _multiply(t)).where(F.col("o") + rest >= need).select("a", "b"))
 
-    # exact count, on one record per class that takes part in a pair
-    wanted = found.select(F.explode(F.array("a", "b")).alias("lo")).distinct()
-    reps = members.groupBy("hi", "lo", "f").agg(F.min("id").alias("id")).join(wanted, "lo", "left_semi")
-    texts = values.join(reps, ["id", "f"])
+    # exact count: of each class one record is read again, and the sets of
+    # runs meet where the pairs of the first class are gathered
+    own = found.select(F.col("a").alias("lo"), F.col("a").alias("at"), F.lit(0).alias("side")).distinct()
+    other = found.select(F.col("b").alias("lo"), F.col("a").alias("at"), F.lit(1).alias("side"))
+    routes = own.unionByName(other).withColumn("slice", F.pmod("at", F.lit(ROUTE_SLICES)))
+    routes = routes.groupBy("lo", "slice").agg(F.collect_list(F.struct("at", "side")).alias("to"))
+    reps = members.groupBy("hi", "lo", "f").agg(F.min("id").alias("id"))
+    texts = values.join(reps.join(routes, "lo").select("id", "f", "hi", "lo", "to"), ["id", "f"])
 
-    def sets(it):
+    def send(it):
         cache = G._Hashes()
         for pdf in it:
-            gs = [G.runs(h, f).tobytes() for f, h in zip(pdf["f"], G.word_hashes(pdf["v"], cache))]
-            yield pd.DataFrame({"f": pdf["f"], "hi": pdf["hi"], "lo": pdf["lo"], "g": gs})
+            out = []
+            for f, hi, lo, to, h in zip(pdf["f"], pdf["hi"], pdf["lo"], pdf["to"], G.word_hashes(pdf["v"], cache)):
+                g = np.unique((G.runs(h, f) >> np.uint64(20)).astype(np.uint32)).tobytes()
+                out.extend((x["at"], x["side"], f, hi, lo, g) for x in to)
+            yield pd.DataFrame(out, columns=["at", "side", "f", "hi", "lo", "g"])
 
-    sets_of = texts.select("f", "hi", "lo", "v").mapInPandas(sets, "f int, hi bigint, lo bigint, g binary")
-    left = found.join(sets_of.select("f", F.col("hi").alias("hi_a"), F.col("lo").alias("a"), F.col("g").alias("ga")), "a")
-    both = left.join(sets_of.select("f", F.col("hi").alias("hi_b"), F.col("lo").alias("b"), F.col("g").alias("gb")), ["f", "b"])
+    sent = texts.select("f", "hi", "lo", "to", "v").mapInPandas(send, "at bigint, side int, f int, hi bigint, lo bigint, g binary")
 
-    def check(it):
+    def meet(it):
+        at, own = None, []
         for pdf in it:
-            o, j = [], []
-            for x, y in zip(pdf["ga"], pdf["gb"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                z = np.concatenate((x, y))
-                z.sort(kind="stable")
-                k = int((z[1:] == z[:-1]).sum())
-                o.append(k)
-                j.append(k / (len(x) + len(y) - k))
-            out = pdf[["f", "hi_a", "a", "hi_b", "b"]].set_axis(["f", "hi_a", "lo_a", "hi_b", "lo_b"], axis=1)
-            out["overlap"], out["likeness"] = o, j
-            yield out[out["likeness"] >= t - 1e-12]
-
-    links = both.mapInPandas(check, "f int, hi_a bigint, lo_a bigint, hi_b bigint, lo_b bigint, overlap int, likeness double")
+            out = []
+            for p, side, f, hi, lo, g in zip(*(pdf[c] for c in ("at", "side", "f", "hi", "lo", "g"))):
+                if p != at:
+                    at, own = p, []
+                y = np.frombuffer(g, np.uint32)
+                if side == 0:
+                    own.append((f, hi, lo, y))
+                    continue
+                for f0, hi0, lo0, x in own:
+                    if f0 == f:
+                        k = int(np.isin(x, y, assume_unique=True).sum())
+                        j = k / (len(x) + len(y) - k)
+                        if j >= t - 1e-12:
+                            out.append((f, hi0, lo0, hi, lo, k, j))
+            yield pd.DataFrame(out, columns=["f", "hi_a", "lo_a", "hi_b", "lo_b", "overlap", "likeness"])
+
+    links = sent.repartition("at").sortWithinPartitions("at", "side").mapInPandas(
+        meet, "f int, hi_a bigint, lo_a bigint, hi_b bigint, lo_b bigint, overlap int, likeness double"
+    )
     return members, links
 
 
