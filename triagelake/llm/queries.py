@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triagelake.llm import near_duplicates, split_overlap
+from triagelake.llm import mixture, near_duplicates, source_syntax, split_overlap, tokenise
 from triagelake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,18 +32,53 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_overlap.report(table(spark, sf_dir, "baseline_sample"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_syntax.found(table(spark, sf_dir, "samples"))
+
+
+def p4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_syntax.judged(table(spark, sf_dir, "samples"))
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_syntax.rates(table(spark, sf_dir, "samples"), table(spark, sf_dir, "eval_rows"))
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenise.encode(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+
+
+def _mixture(spark: SparkSession, sf_dir: str):
+    counts = mixture.staged_counts(table(spark, sf_dir, "documents"))
+    return counts, mixture.plan(counts, table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.draw(*_mixture(spark, sf_dir))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.report(*_mixture(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p2_found": p2_found,
         "p2_classes": p2_classes,
         "p3_found": p3_found,
         "p3_report": p3_report,
+        "p4_found": p4_found,
+        "p4_files": p4_files,
+        "p4_rates": p4_rates,
+        "p8_ids": p8_ids,
+        "p9_mix": p9_mix,
+        "p9_shares": p9_shares,
     }
 
 
 _RUNS = r"""
 runs AS (
-    SELECT id, side, f, unnest(list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g
+    SELECT id, side, f, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g
     FROM (SELECT id, side, f, regexp_extract_all(lower(v), '[\p{L}\p{N}]+') AS w FROM vals)
     WHERE len(w) >= 20
 ), sizes AS (SELECT id, f, count(*) AS n FROM runs GROUP BY id, f)
