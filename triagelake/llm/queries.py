@@ -5,13 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from triagelake.llm import mixture, near_duplicates, source_syntax, split_overlap, tokenise
-from triagelake.session import table
+from triagelake.llm import annotators, mixture, near_duplicates, percentiles, source_syntax, split_overlap, tokenise
+from triagelake.session import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotators.misnamed(table(spark, sf_dir, "engine_labels"), table(spark, sf_dir, "sample_stat"))
+
+
+def p1_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotators.engine_consensus(table(spark, sf_dir, "engine_labels")).result
+
+
+def p1_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotators.engine_consensus(table(spark, sf_dir, "engine_labels")).annotators
+
+
+def p1_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "engine_labels")
+    items, _ = annotators.gather(
+        labels, annotators.key(F.col("sha256")), annotators.key(F.col("engine")), annotators.family_of(F.col("result")), F.struct("scanned_at", "label_id")
+    )
+    return annotators.alpha(items)
+
+
 def _near(spark: SparkSession, sf_dir: str):
     return near_duplicates.near_duplicates(table(spark, sf_dir, "baseline_sample"), "row_id", ["text", "semantic"])
 
@@ -44,6 +65,20 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_syntax.rates(table(spark, sf_dir, "samples"), table(spark, sf_dir, "eval_rows"))
 
 
+def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = staged(percentiles.eval_runs(table(spark, sf_dir, "eval_rows")))
+    return percentiles.percentiles(stored, names=("input_type", "metric"))
+
+
+def p5_day_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    partials = percentiles.day_partials(table(spark, sf_dir, "eval_rows"))
+    return partials.select("day", F.col("grp").alias("input_type"), "metric", "n", "vals", "wts")
+
+
+def p5_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percentiles.from_partials(staged(percentiles.day_partials(table(spark, sf_dir, "eval_rows"))), names=("input_type", "metric"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.encode(table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
@@ -63,6 +98,10 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found,
+        "p1_consensus": p1_consensus,
+        "p1_engines": p1_engines,
+        "p1_agreement": p1_agreement,
         "p2_found": p2_found,
         "p2_classes": p2_classes,
         "p3_found": p3_found,
@@ -70,6 +109,9 @@ def queries() -> dict[str, Query]:
         "p4_found": p4_found,
         "p4_files": p4_files,
         "p4_rates": p4_rates,
+        "p5_percentiles": p5_percentiles,
+        "p5_day_partials": p5_day_partials,
+        "p5_from_days": p5_from_days,
         "p8_ids": p8_ids,
         "p9_mix": p9_mix,
         "p9_shares": p9_shares,
@@ -116,5 +158,22 @@ SELECT DISTINCT least(x, y) AS row_id_a, greatest(x, y) AS row_id_b FROM found""
 ).replace("'\\\\'", "'\\'")
 
 
+_P5 = """WITH once AS (
+    SELECT eval_id, min_by(lower(trim(input_type)), ingest_ts) AS input_type, min_by(total_ms, ingest_ts) AS total_ms,
+           min_by(parse_ms, ingest_ts) AS parse_ms, min_by(ir_ms, ingest_ts) AS ir_ms
+    FROM (SELECT eval_id, ingest_ts, input_type, coalesce(total_ms, -1) AS total_ms, coalesce(parse_ms, -1) AS parse_ms, coalesce(ir_ms, -1) AS ir_ms FROM eval_rows)
+    GROUP BY eval_id
+), vals AS (
+    SELECT input_type, 'total_ms' AS metric, total_ms AS v FROM once UNION ALL
+    SELECT input_type, 'parse_ms', parse_ms FROM once UNION ALL
+    SELECT input_type, 'ir_ms', ir_ms FROM once
+), ranked AS (
+    SELECT input_type, metric, v, row_number() OVER (PARTITION BY input_type, metric ORDER BY v) AS r, count(*) OVER (PARTITION BY input_type, metric) AS n
+    FROM vals WHERE v > 0 AND isfinite(v) AND input_type <> ''
+)
+SELECT input_type, metric, q, n, v AS value FROM ranked
+JOIN (SELECT unnest([0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999]::DOUBLE[]) AS q) ON r = greatest(ceil(q * n - 1e-9)::BIGINT, 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p3_found": _P3}
+    return {"p2_found": _P2, "p3_found": _P3, "p5_percentiles": _P5}
