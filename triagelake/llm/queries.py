@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm import annotators, mixture, near_duplicates, percentiles, source_syntax, split_overlap, tokenise
+from triagelake.llm import annotators, grouped_split, mixture, near_duplicates, percentiles, source_syntax, split_overlap, tokenise
 from triagelake.session import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,18 @@ def p5_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.from_partials(staged(percentiles.day_partials(table(spark, sf_dir, "eval_rows"))), names=("input_type", "metric"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped_split.found(table(spark, sf_dir, "sample_stat"))
+
+
+def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped_split.stat_splits(table(spark, sf_dir, "sample_stat"), table(spark, sf_dir, "split_targets"))
+
+
+def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped_split.split_report(p6_splits(spark, sf_dir), table(spark, sf_dir, "split_targets"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.encode(table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
@@ -112,6 +124,9 @@ def queries() -> dict[str, Query]:
         "p5_percentiles": p5_percentiles,
         "p5_day_partials": p5_day_partials,
         "p5_from_days": p5_from_days,
+        "p6_found": p6_found,
+        "p6_splits": p6_splits,
+        "p6_shares": p6_shares,
         "p8_ids": p8_ids,
         "p9_mix": p9_mix,
         "p9_shares": p9_shares,
@@ -175,5 +190,21 @@ SELECT input_type, metric, q, n, v AS value FROM ranked
 JOIN (SELECT unnest([0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999]::DOUBLE[]) AS q) ON r = greatest(ceil(q * n - 1e-9)::BIGINT, 1)"""
 
 
+_P6 = """WITH RECURSIVE rows_ AS (
+    SELECT stat_id AS id, nullif(lower(trim(family)), '') AS c, nullif(lower(trim(sha256)), '') AS f FROM sample_stat
+), fams AS (SELECT c, min(id) AS cid FROM rows_ WHERE c IS NOT NULL GROUP BY c),
+shas AS (SELECT f, min(cid) AS least, min(id) AS fmin FROM rows_ LEFT JOIN fams USING (c) WHERE f IS NOT NULL GROUP BY f),
+edges AS (SELECT DISTINCT fa.cid AS u, s.least AS v FROM rows_ r JOIN fams fa USING (c) JOIN shas s USING (f) WHERE fa.cid <> s.least),
+sym AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+reach(n, m) AS (SELECT u, u FROM sym UNION SELECT r.n, s.v FROM reach r JOIN sym s ON s.u = r.m),
+roots AS (SELECT n, min(m) AS root FROM reach GROUP BY n),
+marked AS (
+    SELECT r.id, coalesce(rc.root, fa.cid, rs.root, s.least, s.fmin, r.id) AS root FROM rows_ r
+    LEFT JOIN fams fa ON fa.c = r.c LEFT JOIN roots rc ON rc.n = fa.cid
+    LEFT JOIN shas s ON s.f = r.f LEFT JOIN roots rs ON rs.n = s.least
+)
+SELECT id AS stat_id, group_id FROM (SELECT id, min(id) OVER (PARTITION BY root) AS group_id, count(*) OVER (PARTITION BY root) AS n FROM marked) WHERE n > 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p3_found": _P3, "p5_percentiles": _P5}
+    return {"p2_found": _P2, "p3_found": _P3, "p5_percentiles": _P5, "p6_found": _P6}
