@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm import annotators, grouped_split, mixture, near_duplicates, percentiles, source_syntax, split_overlap, tokenise
+from triagelake.llm import annotators, grouped_split, mixture, mojibake, near_duplicates, percentiles, source_syntax, split_overlap, tokenise
 from triagelake.session import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,14 @@ def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped_split.split_report(p6_splits(spark, sf_dir), table(spark, sf_dir, "split_targets"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.found(table(spark, sf_dir, "fas_resources"), table(spark, sf_dir, "fas_bytes"))
+
+
+def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.restored(table(spark, sf_dir, "fas_resources"), table(spark, sf_dir, "fas_bytes"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.encode(table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
@@ -127,6 +135,8 @@ def queries() -> dict[str, Query]:
         "p6_found": p6_found,
         "p6_splits": p6_splits,
         "p6_shares": p6_shares,
+        "p7_found": p7_found,
+        "p7_restored": p7_restored,
         "p8_ids": p8_ids,
         "p9_mix": p9_mix,
         "p9_shares": p9_shares,
