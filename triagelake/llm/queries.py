@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm import annotators, grouped_split, mixture, mojibake, near_duplicates, percentiles, source_syntax, split_overlap, tokenise
+from triagelake.llm import annotators, grouped_split, mixture, mojibake, near_duplicates, percentiles, source_syntax, split_overlap, tokenise, truncation
 from triagelake.session import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,6 +116,18 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.report(*_mixture(spark, sf_dir))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.found(table(spark, sf_dir, "documents"))
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.scores(table(spark, sf_dir, "documents"))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.rates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -140,6 +152,9 @@ def queries() -> dict[str, Query]:
         "p8_ids": p8_ids,
         "p9_mix": p9_mix,
         "p9_shares": p9_shares,
+        "p10_found": p10_found,
+        "p10_scores": p10_scores,
+        "p10_rates": p10_rates,
     }
 
 
