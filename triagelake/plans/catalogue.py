@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from triagelake.plans import evaluation_queries, pipeline
 from triagelake.session import table
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "sample_stat").groupBy("label").count()
+    """Risk and verdict of every sample, from text to score."""
+    return pipeline.scores(table(spark, sf_dir, "samples"))
 
 
 def queries() -> dict:
-    return {}
+    return {"sample_scores": flagship, **evaluation_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(evaluation_queries.SQL)
