@@ -12,14 +12,14 @@ KNOWN_HEADS = (
     "setq", "defun", "if", "while", "open", "close", "write-line", "read-line", "strcat", "findfile", "load", "vl-",
     "progn", "and", "or", "not", "foreach", "repeat", "princ", "command",
 )
-HEAD = r"(?m)^[ \t\r]*\((?:" + "|".join(KNOWN_HEADS) + ")"
+HEAD = r"(?md)^[ \t\r]*\((?:" + "|".join(KNOWN_HEADS) + ")"
 SNIFF_HEADER, SNIFF_SOURCE, SNIFF_VBA = 4 * 1024, 64 * 1024, 256 * 1024
 
 
 def strip_comments(text: Column) -> Column:
     """Cut each line at its first semicolon, also inside a string, and at the
     blanks before it."""
-    return F.regexp_replace(text, r"(?m)[ \t\r]*(?:;[^\n]*)?$", "")
+    return F.regexp_replace(text, r"(?md)[ \t\r]*(?:;[^\n]*)?$", "")
 
 
 def drop_preamble(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triagelake.plans import evaluation_queries, pipeline
+from triagelake.plans import effect_queries, evaluation_queries, pipeline, stream_queries, text_queries
 from triagelake.session import table
 
 
@@ -14,8 +14,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"sample_scores": flagship, **evaluation_queries.QUERIES}
+    return {"sample_scores": flagship, **evaluation_queries.QUERIES, **text_queries.QUERIES, **effect_queries.QUERIES, **stream_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(evaluation_queries.SQL)
+    return {**evaluation_queries.SQL, **text_queries.SQL, **effect_queries.SQL, **stream_queries.SQL}
