@@ -34,11 +34,15 @@ from triagelake.session import hot_keys, join_unique, staged
 BITS = 16
 SAMPLE = 12_000
 THRESHOLD = 0.5
+DOUBT = 0.2
 SPIKE = 8.0
 MIN_DOCUMENTS = 4
 MAX_SOURCES = 10_000
 RESERVED = 256  # slots of the corpus statistics, at the end of the table
 
+# fixed values: marks that are put behind a cut
+MARKS = ("...", " ...", " [...]", "[…]", " (cut)", " [cut]", " (truncated)", " [truncated]", " (more)", " [more]")
+
 _STOP = ".?!。？！"
 _CLOSE = ")]}\"'”’»`"
 
@@ -177,7 +181,7 @@ def variants(doc_id: int, text: str, limits: list[int], tails: list[str]):
         if k == 1 and r < 0.12:
             cut = cut.rstrip() + "…"
         elif k == 1 and r < 0.2:
-            cut = cut.rstrip() + ("...", " ...", " [...]", "[…]")[int(rng.integers(4))]
+            cut = cut.rstrip() + MARKS[int(rng.integers(len(MARKS)))]
         elif k == 1 and r < 0.4 and tails:
             cut = cut.rstrip() + "\n" + tails[int(rng.integers(len(tails)))]
         elif r > 0.95:
@@ -213,7 +217,8 @@ def _fitted(x: list[np.ndarray], y: np.ndarray, ids: np.ndarray, folds: int = 3)
     """Weights of the slots that several documents share.
 
     Among the negatives are texts that are cut.  Each is judged by a model
-    that has not seen it, and those held for cut are left out of the last fit.
+    that has not seen it, twice, and those held for cut are left out of the
+    last fit.
     """
     if len(set(y)) < 2:
         return np.full(1 << BITS, -1.0)
@@ -222,11 +227,14 @@ def _fitted(x: list[np.ndarray], y: np.ndarray, ids: np.ndarray, folds: int = 3)
     x = [r[often[r]] for r in x]
     fold = np.array([xxhash.xxh3_64_intdigest(int(i).to_bytes(8, "little", signed=True)) % folds for i in ids])
     keep = np.ones(len(y), bool)
-    for k in range(folds):
-        rest, own = np.flatnonzero(fold != k), np.flatnonzero((fold == k) & (y == 0))
-        if len(own) and len(set(y[rest])) == 2:
-            w = fit([x[i] for i in rest], y[rest], np.ones(len(rest)))
-            keep[own[_score([x[i] for i in own], w) >= THRESHOLD]] = False
+    # first leave out all that may be cut, then judge again from what is left
+    for bound in (DOUBT, THRESHOLD):
+        judged = np.zeros(len(y))
+        for k in range(folds):
+            rest, own = np.flatnonzero((fold != k) & keep), np.flatnonzero((fold == k) & (y == 0))
+            if len(own) and len(set(y[rest])) == 2:
+                judged[own] = _score([x[i] for i in own], fit([x[i] for i in rest], y[rest], np.ones(len(rest)), steps=120))
+        keep = (y == 1) | (judged < bound)
     kept = np.flatnonzero(keep)
     return fit([x[i] for i in kept], y[kept], np.ones(len(kept)))
 
