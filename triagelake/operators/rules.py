@@ -252,5 +252,5 @@ def top_nodes(facts: DataFrame) -> DataFrame:
     """Top-level nodes of a fact table, with the name that a defun defines."""
     first = F.get("args", 0)
     return facts.where("fact = 'node' and depth = 0").select(
-        "sample_id", F.col("name").alias("op"), "fn", F.when(first.kind == "text", first.text).alias("name"), F.col("source").alias("text"), "args", "line"
+        "sample_id", "seq", F.col("name").alias("op"), "fn", F.when(first.kind == "text", first.text).alias("name"), F.col("source").alias("text"), "args", "line"
     )

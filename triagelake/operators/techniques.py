@@ -118,7 +118,7 @@ def node_observations(nodes: DataFrame) -> DataFrame:
     return nodes.select(
         "sample_id", F.explode_outer(found).alias("o"), (defun & name.contains("startup")).alias("hook"), (op == "EVAL").alias("eval"), (load & remote).alias("remote"),
         (op == "STRING_DECODE").alias("decode"), F.lower("fn").contains("macaddr").alias("mac"), (op.isin("SETQ", "SETVAR", "IF", "COND") & cdate).alias("dated"),
-        (op.isin("IF", "COND") & text.rlike("20[0-2][0-9]")).alias("compared"), command.alias("command"), F.monotonically_increasing_id().alias("n"),
+        (op.isin("IF", "COND") & text.rlike("20[0-2][0-9]")).alias("compared"), command.alias("command"), "seq",
     )
 
 
@@ -130,7 +130,7 @@ def techniques(effects: DataFrame, nodes: DataFrame, named_only: bool = False) -
     ef = e.groupBy("sample_id").agg(*map(b, ("start_file", "reactor", "net", "acts", "xmlhttp", "stages", "mac")), F.collect_set("hijacked").alias("hijacked"))
     nf = n.groupBy("sample_id").agg(
         *map(b, ("hook", "eval", "remote", "dated", "compared")), F.coalesce(F.bool_or("mac"), F.lit(False)).alias("node_mac"),
-        F.count_distinct(F.when(F.col("decode"), F.col("n"))).alias("decodes"), F.collect_set("command").alias("commands"),
+        F.count_distinct(F.when(F.col("decode"), F.col("seq"))).alias("decodes"), F.collect_set("command").alias("commands"),
     )
     flags = ef.join(nf, "sample_id", "full").fillna(False).fillna(0, ["decodes"])
     c = F.col

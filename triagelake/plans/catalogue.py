@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from triagelake.plans import effect_queries, evaluation_queries, pipeline, stream_queries, text_queries
 from triagelake.session import table
+from triagelake.sources import bytecode
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Risk and verdict of every sample, from text to score."""
-    return pipeline.scores(table(spark, sf_dir, "samples"))
+    """Risk and verdict of every sample, from text and recovered resources to
+    score."""
+    summary = bytecode.resource_summary(table(spark, sf_dir, "fas_resources").distinct())
+    return pipeline.scores(table(spark, sf_dir, "samples"), recovered=bytecode.summary_effects(summary))
 
 
 def queries() -> dict:

@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 from triagelake.functions import vocabulary as V
 from triagelake.operators import effects as E
 from triagelake.operators import graph as G
+from triagelake.operators import passes as P2
 from triagelake.operators import records as N
+from triagelake.operators import recovery as V2
 from triagelake.operators import rules as R
 from triagelake.operators import scoring as S
 from triagelake.operators import techniques as T
 from triagelake.plans import pipeline
 from triagelake.session import staged, table
+from triagelake.sources import bytecode as B2
+from triagelake.sources import lisp
 
 KINDS = {"click": "file_write", "view": "file_read", "purchase": "registry_modify", "error": "process_create", "signup": "com_create"}
 TARGETS = (
@@ -203,12 +207,67 @@ def script_prompts(spark, sf_dir):
     return N.prompt_text(f.effects, G.call_targets(f.calls, f.functions, f.aliases))
 
 
+def script_eval_rows(spark, sf_dir):
+    """Rows of the batch report: one per sample, failures with their error."""
+    samples = table(spark, sf_dir, "samples")
+    failed = lisp.facts(samples.dropDuplicates(["sample_id"])).where("fact = 'error'").select("sample_id", F.col("name").alias("error"))
+    rows = pipeline.scores(samples).join(failed, "sample_id", "left")
+    verdict = F.when(F.col("error").isNotNull(), "ERROR").otherwise(F.col("verdict"))
+    return rows.select(
+        F.col("path").alias("sample"), "input_type", verdict.alias("verdict"), F.when(F.col("error").isNull(), F.col("risk")).otherwise(0.0).alias("risk"), F.lit(0.5).alias("threshold"), "techniques", "rule_count",
+        F.lit(0.0).alias("attack_risk"), F.coalesce("error", F.lit("")).alias("error"),
+    )
+
+
+def script_bindings(spark, sf_dir):
+    """Names bound at top level, per sample."""
+    return V2.top_bindings(pipeline.script_facts(table(spark, sf_dir, "samples")).aliases).groupBy("sample_id").agg(F.count(F.lit(1)).alias("names"))
+
+
+def script_apis(spark, sf_dir):
+    """Interface names that scripts use, by the number of samples."""
+    a = V2.candidate_apis(lisp.facts(table(spark, sf_dir, "samples").dropDuplicates(["sample_id"])))
+    return a.groupBy("api", V2.api_classes(F.col("api")).alias("class")).agg(F.count(F.lit(1)).alias("samples"))
+
+
+def surface_mask(spark, sf_dir):
+    """Events left when 30 % are dropped by digest, per type."""
+    left = V2.mask_surface(table(spark, sf_dir, "events"), 0.3, 7, "event_id")
+    return left.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def environment_classes(spark, sf_dir):
+    r = table(spark, sf_dir, "fas_resources").where("kind = 'symbol' and value is not null").distinct()
+    kind, severity = P2.environment_check(F.col("value"))
+    level, what = P2.path_resolution(F.col("value"))
+    return r.groupBy(kind.alias("kind"), severity.alias("severity"), level.alias("level"), what.alias("what")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def source_items(spark, sf_dir):
+    s = table(spark, sf_dir, "samples").where("input_type = 'lsp'").select("sample_id", "text").distinct()
+    return V2.source_items(s).groupBy("sample_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def code_names(spark, sf_dir):
+    return V2.function_names(B2.instructions(table(spark, sf_dir, "fas_bytes")))
+
+
+def code_expressions(spark, sf_dir):
+    return V2.expressions(B2.instructions(table(spark, sf_dir, "fas_bytes")))
+
+
+def code_sources(spark, sf_dir):
+    i = staged(B2.instructions(table(spark, sf_dir, "fas_bytes")))
+    return V2.rendered(V2.function_names(i), V2.expressions(i))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         effect_dedup, effect_tags, lift_first_match, propagation, target_kinds, effect_entropy, feature_severity, rule_hits, rule_evidence, technique_max, technique_risk,
         call_graph, reach_closure, cycle_metrics, inherited_effects, function_behaviours, entry_spread, effect_chains, back_edges, folded_definitions,
         script_effects, script_calls, script_rules, script_techniques, script_predicates, script_motifs, script_propagation, script_context, script_prompts,
+        script_eval_rows, script_bindings, script_apis, surface_mask, environment_classes, source_items, code_names, code_expressions, code_sources,
     )
 }
 
@@ -339,6 +398,12 @@ SELECT sample_id, entry, count(*) AS reached, count(wf) AS write_sinks, max(dept
  SELECT p.*, w.fn AS wf, (SELECT count(*) FROM w x WHERE x.sample_id = p.sample_id) AS tw FROM p LEFT JOIN w ON w.sample_id = p.sample_id AND w.fn = p.fn) GROUP BY sample_id, entry""",
     "effect_chains": f"""WITH {_EDGES}, {_NE}, k AS (SELECT sample_id, fn FROM ne GROUP BY ALL HAVING count(DISTINCT effect_type) >= 2 AND bool_or(effect_type = 'file_write'))
 SELECT k.sample_id, 'effect_chain' AS motif, fn AS anchor, round(least(0.4 + 0.1 * (count(DISTINCT caller) - 1), 0.7)::DOUBLE, 6) AS confidence FROM k JOIN ed ON ed.sample_id = k.sample_id AND callee = fn GROUP BY ALL""",
+    "surface_mask": "SELECT event_type, count(*) AS n FROM events WHERE ('0x' || left(md5('7|' || event_id), 8))::BIGINT >= floor(0.3::DOUBLE * 4294967296) GROUP BY 1",
+    "environment_classes": r"""SELECT CASE WHEN regexp_matches(t, 'date|time') THEN 'TIME' WHEN regexp_matches(t, 'mac|host|serial') THEN 'HOST_ID' WHEN regexp_matches(t, 'dwg|file|path') THEN 'FILE_CONTEXT' WHEN regexp_matches(t, 'acad|product|ver') THEN 'APP_CONTEXT' ELSE 'SYSTEM_CONTEXT' END AS kind,
+ CASE WHEN regexp_matches(t, 'date|time|mac|host|serial') THEN 'high' WHEN regexp_matches(t, 'dwg|file|path') THEN 'medium' ELSE 'low' END AS severity,
+ CASE WHEN value IN ('', 'unknown') THEN 'unresolved' WHEN regexp_matches(value, '^([A-Za-z]:[\\/]|[\\/]{2}|/)') THEN 'full' WHEN regexp_matches(value, '[\\/.]') THEN 'partial' ELSE 'unresolved' END AS level,
+ CASE WHEN regexp_matches(t, 'acad\.lsp|acaddoc\.lsp|startup|\.mnl') THEN 'startup' WHEN regexp_matches(t, 'menu|\.mnu|\.cui') THEN 'menu' ELSE 'data' END AS what, count(*) AS n
+FROM (SELECT DISTINCT *, lower(value) AS t FROM fas_resources WHERE kind = 'symbol' AND value IS NOT NULL) GROUP BY ALL""",
     "folded_definitions": f"""WITH {_EDGES}, c AS (SELECT DISTINCT callee FROM ed WHERE sample_id = 'R')
 SELECT n_name AS name FROM nation WHERE n_name NOT IN (SELECT callee FROM c) OR n_regionkey = 1""",
 }

@@ -7,8 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triagelake.functions import text as X
 from triagelake.operators import effects as E
 from triagelake.operators import graph as G
+from triagelake.operators import recovery as V
 from triagelake.operators import rules as R
 from triagelake.operators import scoring as S
 from triagelake.operators import techniques as T
@@ -27,13 +29,20 @@ class Facts:
     aliases: DataFrame
 
 
-def script_facts(samples: DataFrame) -> Facts:
+def script_facts(samples: DataFrame, recovered: DataFrame | None = None) -> Facts:
     """One pass over the texts; each kind of fact is a partition of its own,
-    so a reader of one kind opens no file of the others."""
-    rows = staged(lisp.facts(samples.dropDuplicates(["sample_id"])), "fact")
+    so a reader of one kind opens no file of the others.
+
+    Macro sources under a script's name give their effects by pattern, and
+    ``recovered`` those of compiled files; both come after the script's own.
+    """
+    once = samples.dropDuplicates(["sample_id"])
+    macro = F.col("input_type") == "lsp-vba" if "input_type" in samples.columns else F.lit(False)
+    rows = staged(lisp.facts(once.where(~macro)), "fact")
+    parts = [X.vba_effects(X.vba_behaviours(once.where(macro)))] + ([recovered] if recovered is not None else [])
     return Facts(
         rows.where("fact = 'node'"),
-        staged(E.dedup_cap(E.effects_of(rows))),
+        staged(V.merge_effects(E.effects_of(rows), *parts)),
         rows.where("fact = 'function'").select("sample_id", "fn"),
         rows.where("fact = 'call'").select("sample_id", "fn", "name", "line"),
         rows.where("fact = 'alias'").select("sample_id", "fn", "name", "target"),
@@ -52,9 +61,10 @@ def formal(f: Facts) -> tuple[DataFrame, DataFrame, DataFrame]:
     return predicates, S.formal_score(metrics, spreads, f.effects), motifs
 
 
-def scores(samples: DataFrame, p: S.Parameters = S.Parameters()) -> DataFrame:
-    """Evidence, risk and verdict of every sample with a text."""
-    f = script_facts(samples)
+def scores(samples: DataFrame, p: S.Parameters = S.Parameters(), recovered: DataFrame | None = None) -> DataFrame:
+    """Evidence, risk and verdict of every sample with a text, or with
+    effects recovered from its compiled form."""
+    f = script_facts(samples, recovered)
     nodes = R.top_nodes(f.nodes)
     hits = staged(R.rule_hits(f.effects, nodes))
     found = staged(T.techniques(f.effects, nodes))
@@ -65,7 +75,10 @@ def scores(samples: DataFrame, p: S.Parameters = S.Parameters()) -> DataFrame:
     by_effect = severity.groupBy("sample_id").agg(F.avg("x").alias("feature_evidence"), F.count(F.lit(1)).alias("effects"))
     predicates, final, _ = formal(f)
     context = S.context_score(f.effects, E.tags(f.effects), E.lifted(f.effects))
-    base = samples.where("text is not null").select("sample_id", "path", "input_type").dropDuplicates(["sample_id"])
+    base = samples.select("sample_id", "path", "input_type", F.col("text").isNotNull().alias("_t")).dropDuplicates(["sample_id"])
+    if recovered is None:
+        base = base.where("_t")
+    base = base.drop("_t")
     for part in (by_rule.drop("vba_rule"), by_technique, T.technique_risk(found), by_effect, S.formal_evidence(predicates, final), context):
         base = base.join(part, "sample_id", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))

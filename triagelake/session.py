@@ -63,7 +63,8 @@ def join_unique(
     if not hot:
         return left.join(right, key, how)
     is_hot = F.col(key).isin(hot)
-    salt = F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(F.lit(0))
+    # from the row itself, so a task that runs again sends its rows the same way
+    salt = F.when(is_hot, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts))).otherwise(F.lit(0))
     spread = right.withColumn(
         "_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     ).withColumn("_salt", F.col("_salt").cast("bigint"))
