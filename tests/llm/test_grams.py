@@ -19,7 +19,8 @@ def test_chunks_are_cut_alike_wherever_they_stand():
     ca, na = G.chunks(a)
     cb, _ = G.chunks(b)
     assert na.sum() == 400
-    assert na[np.isin(ca, cb)].sum() > 370
+    assert na[np.isin(ca, cb)].sum() > 380
+    assert [len(x) for x in G.chunks(a[:1])] == [1, 1] and len(G.chunks(a[:0])[0]) == 0
 
 
 def test_blocks_round_trip():
@@ -49,3 +50,16 @@ def brute_sets(texts, least=20):
         if len(w) >= least:
             out[i] = set(zip(w, w[1:], w[2:]))
     return out
+
+
+def test_pair_counts_hand_on_frames(monkeypatch):
+    monkeypatch.setattr(G, "PAIRS", 10)
+    c = G.PairCounts(np.array([3, 4, 5]), np.array([30, 20, 10]), ordered=False)
+    frames = [f for k in range(5) for f in c.add(np.array([0, 0, 1]), np.array([1, 2, 2]))] + [c.frame()]
+    assert len(frames) == 2
+    total = {}
+    for f in frames:
+        for r in f.itertuples():
+            assert r.a < r.b
+            total[(r.a, r.b)] = total.get((r.a, r.b), 0) + r.o
+    assert total == {(20, 30): 5, (10, 30): 5, (10, 20): 5}

@@ -97,3 +97,24 @@ def test_split_overlap_of_nothing(spark):
     assert O.found_pairs(spark.createDataFrame([], s)).count() == 0
     assert O.found_pairs(spark.createDataFrame([(1, None, None, None), (2, "train", None, None)], s)).count() == 0
     assert O.report(spark.createDataFrame([], s)).count() == 0
+
+
+def test_scattered_edits_are_found(spark):
+    """One word in twelve is changed, which spoils most chunks for the least
+    loss of runs."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(120):
+        n = rng.choice([30, 60, 120, 240])
+        w = [f"v{rng.randrange(5000)}" for _ in range(n)]
+        v = [f"edit{i}x{k}" if i % 12 == k % 12 else x for i, x in enumerate(w)]
+        rows += [(2 * k, "train", " ".join(["pre", *v, "post"]), None), (2 * k + 1, "test", " ".join(w), None)]
+    want = overlap_truth(rows)
+    got = {tuple(r) for r in O.found_pairs(spark.createDataFrame(rows, "row_id long, split string, text string, sample string")).collect()}
+    assert got <= want and len(want) > 30 and len(want - got) <= 1
+
+
+def test_equal_ids_are_one_record(spark):
+    rows = list(enumerate(corpus(9, 30)))
+    df = spark.createDataFrame(rows, "row_id long, text string")
+    assert {tuple(r) for r in N.pairs(*N.near_duplicates(df, "row_id", ["text"])).collect()} == near_truth(rows)

@@ -64,17 +64,25 @@ def runs(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return np.unique(mix(g))
 
 
-def chunks(h: np.ndarray, cut_mask: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Digests and word counts of the different content-defined chunks."""
+def chunks(h: np.ndarray, cut: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Digests and word counts of the different content-defined chunks.
+
+    A chunk ends after a word whose hash is divisible by ``cut``: the window
+    of the rolling hash is one word, so an edit spoils no cut but its own.  A
+    digest covers a chunk and the one after it, which tells it from chance,
+    and counts the words of the former (the last one also its own).
+    """
     n = len(h)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    roll = mix(h[:-1] * _B + h[1:])
-    starts = np.concatenate(([0], np.flatnonzero((roll & np.uint64(cut_mask)) == 0) + 2))
+    starts = np.concatenate(([0], np.flatnonzero(mix(h) % np.uint64(cut) == 0) + 1))
     starts = starts[starts < n]
     length = np.diff(np.append(starts, n))
     pos = np.arange(n) - np.repeat(starts, length)
     digest = mix(np.add.reduceat(h * _POW[pos & 4095], starts) + length.astype(np.uint64))
+    if len(digest) > 1:
+        digest = mix(digest[:-1] * _A + digest[1:])
+        length = np.append(length[:-2], length[-2:].sum())
     digest, first = np.unique(digest, return_index=True)
     return digest, length[first]
 
@@ -252,8 +260,59 @@ def incidence_blocks(df: DataFrame, fill, blocks: int) -> DataFrame:
     return df.mapInPandas(pack, "block int, blob binary")
 
 
-def product(packed: DataFrame, multiply) -> DataFrame:
-    """Apply ``multiply(blobs) -> DataFrame(a, b, o)`` to each block and add
-    up the overlaps of the same pair over all blocks."""
-    part = packed.groupBy("block").applyInPandas(lambda pdf: multiply(pdf["blob"]), "a bigint, b bigint, o bigint, na bigint, nb bigint")
-    return part.groupBy("a", "b").agg(F.sum("o").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+def product(packed: DataFrame, multiply, sizes: bool = True) -> DataFrame:
+    """Apply ``multiply(blobs)`` to each block and add up the overlaps of the
+    same pair, with the sizes of both where asked for.  A block's pairs come as frames of bounded size, however many
+    there are; what a pair has in several frames or blocks is added up later.
+    """
+
+    columns = ["a", "b", "o", "na", "nb"] if sizes else ["a", "b", "o"]
+
+    def run(it):
+        block, held = None, []
+        for pdf in it:
+            for b, blob in zip(pdf["block"], pdf["blob"]):
+                if b != block and held:
+                    yield from (f[columns] for f in multiply(held))
+                    held = []
+                block = b
+                held.append(blob)
+        if held:
+            yield from (f[columns] for f in multiply(held))
+
+    by_block = packed.repartition("block").sortWithinPartitions("block")
+    part = by_block.mapInPandas(run, ", ".join(f"{c} bigint" for c in columns))
+    return part.groupBy("a", "b").agg(F.sum("o").alias("o"), *[F.first(c).alias(c) for c in columns[3:]])
+
+
+PAIRS = 2_000_000
+
+
+class PairCounts:
+    """Overlaps of pairs of numbered documents, handed on when many."""
+
+    def __init__(self, ns: np.ndarray, ids: np.ndarray, ordered: bool) -> None:
+        self.ns, self.ids, self.ordered = ns, ids, ordered
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, o: np.ndarray | None = None):
+        """Count ``o`` (or one) for each pair; yields a frame when full."""
+        self.keys.append(a * len(self.ids) + b)
+        self.counts.append(np.ones(len(a), np.int64) if o is None else o)
+        self.n += len(a)
+        if self.n > PAIRS:
+            yield self.frame()
+
+    def frame(self) -> pd.DataFrame:
+        if not self.n:
+            return pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("a", "b", "o", "na", "nb")})
+        key, at = np.unique(np.concatenate(self.keys), return_inverse=True)
+        o = np.bincount(at, np.concatenate(self.counts)).astype(np.int64)
+        self.keys, self.counts, self.n = [], [], 0
+        a, b = key // len(self.ids), key % len(self.ids)
+        if not self.ordered:
+            swap = self.ids[a] > self.ids[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+        return pd.DataFrame({"a": self.ids[a], "b": self.ids[b], "o": o, "na": self.ns[a], "nb": self.ns[b]})

@@ -62,42 +62,18 @@ def _multiply(t: float):
 
     def run(blobs):
         g, d, _, ns, _, ids = G.unpack(blobs)
-        pa, pb = [], []
+        counts = G.PairCounts(ns, ids, ordered=False)
         at = np.flatnonzero(g[1:] == g[:-1])
         shift = 1
-        held = 0
-        acc: list[pd.DataFrame] = []
-
-        def fold():
-            nonlocal held
-            if pa:
-                a, b = np.concatenate(pa), np.concatenate(pb)
-                key, o = np.unique(a * len(ids) + b, return_counts=True)
-                acc.append(pd.DataFrame({"k": key, "o": o}))
-                pa.clear()
-                pb.clear()
-                held = 0
-
         while len(at):
             x, y = d[at], d[at + shift]
             nx, ny = ns[x], ns[y]
             ok = np.minimum(nx, ny) >= t * np.maximum(nx, ny) - 1e-9
-            pa.append(np.minimum(x, y)[ok])
-            pb.append(np.maximum(x, y)[ok])
-            held += int(ok.sum())
-            if held > 2_000_000:
-                fold()
+            yield from counts.add(np.minimum(x, y)[ok], np.maximum(x, y)[ok])
             shift += 1
             at = at[at + shift < len(g)]
             at = at[g[at] == g[at + shift]]
-        fold()
-        if not acc:
-            return pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("a", "b", "o", "na", "nb")})
-        s = pd.concat(acc).groupby("k")["o"].sum()
-        a, b = s.index.to_numpy() // len(ids), s.index.to_numpy() % len(ids)
-        swap = ids[a] > ids[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        return pd.DataFrame({"a": ids[a], "b": ids[b], "o": s.to_numpy(), "na": ns[a], "nb": ns[b]})
+        yield counts.frame()
 
     return run
 
