@@ -58,17 +58,20 @@ def join_unique(
     ``hot`` lists the key values known to hold many rows of ``left``; their
     rows are spread over ``salts`` buckets and the matching right rows are
     repeated once per bucket, so no task receives a whole hot key.  ``hot`` is
-    a statistic of bounded size (keys holding more than a fixed share).
+    a statistic of bounded size (keys holding more than a fixed share).  Rows
+    with a null key match nothing and are spread as well.
     """
-    if not hot:
-        return left.join(right, key, how)
-    is_hot = F.col(key).isin(hot)
     # from the row itself, so a task that runs again sends its rows the same way
-    salt = F.when(is_hot, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts))).otherwise(F.lit(0))
-    spread = right.withColumn(
-        "_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    ).withColumn("_salt", F.col("_salt").cast("bigint"))
-    return left.withColumn("_salt", salt.cast("bigint")).join(spread, [key, "_salt"], how).drop("_salt")
+    spread_row = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts))
+    k = F.col(f"`{key}`")
+    is_hot = k.isin(hot) if hot else F.lit(False)
+    salted = left.withColumn("_salt", F.when(k.isNull() | is_hot, spread_row).otherwise(F.lit(0)).cast("bigint"))
+    if hot:
+        copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        unique = right.withColumn("_salt", F.explode(copies.cast("array<bigint>")))
+    else:
+        unique = right.withColumn("_salt", F.lit(0).cast("bigint"))
+    return salted.join(unique, [key, "_salt"], how).drop("_salt")
 
 
 def hot_keys(df: DataFrame, key: str | Column, share: float = 0.02) -> list:
