@@ -33,7 +33,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the published pre-tokenisation pattern of this vocabulary
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEAF = 4_096
-PIECE = 262_144
+PIECE = 16_384
+SLICE = 512  # texts encoded at once
 
 TEXT, SINGLE, GLUED = 0, 1, 2
 
@@ -115,6 +116,13 @@ def join_tree(enc: tiktoken.Encoding, parts: list[list[int]]) -> list[int]:
     return parts[0]
 
 
+def _slices(batches, size: int = SLICE):
+    """Batches of at most so many rows, which bounds what is held at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, size):
+            yield b.slice(at, size)
+
+
 def _id_arrays(lists: list[list[int]]) -> pa.Array:
     offsets = [0]
     for x in lists:
@@ -132,7 +140,7 @@ def encode(df: DataFrame, text: str = "text", keep: list[str] | None = None, out
 
     def split_long(batches):
         base, n = TaskContext.get().partitionId() << 40, 0
-        for b in batches:
+        for b in _slices(batches, 16):
             parts = []
             for t in b.column("_text").to_pylist():
                 parts.append([{"k": k, "t": p} for k, p in cut(t or "", leaf, piece)])
@@ -144,7 +152,7 @@ def encode(df: DataFrame, text: str = "text", keep: list[str] | None = None, out
 
     def short_ids(batches):
         enc = encoding(path)
-        for b in batches:
+        for b in _slices(batches):
             ids = [enc.encode_ordinary(t) if t else [] for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [_id_arrays(ids)], names=keep + [out])
 
@@ -161,7 +169,7 @@ def encode(df: DataFrame, text: str = "text", keep: list[str] | None = None, out
 
     def leaf_ids(batches):
         enc = encoding(path)
-        for b in batches:
+        for b in _slices(batches):
             ids = [encode_part(enc, k, t) for k, t in zip(b.column("k").to_pylist(), b.column("t").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column(c) for c in keep] + [b.column(c).cast(pa.int64()) for c in ("_row", "_n", "_seq")] + [b.column("k"), _id_arrays(ids)],
