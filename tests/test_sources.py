@@ -1,4 +1,5 @@
 import struct
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -129,5 +130,5 @@ def test_folder_watch(spark, tmp_path):
     def keep(batch, _):
         got.extend(r.sample_id for r in watch.arriving_facts(batch).where("fact = 'effect'").collect())
 
-    watch.each_batch(watch.arriving_files(spark, str(root)), keep, tmp_path.name).awaitTermination()
+    watch.each_batch(watch.arriving_files(spark, str(root)), keep, uuid.uuid4().hex).awaitTermination()
     assert got == ["a.lsp"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from triagelake.session import table
@@ -17,17 +15,17 @@ def _events(spark, sf_dir):
 
 def stream_windows(spark, sf_dir):
     """Hourly counts per event type from a stream."""
-    return watch.drained(watch.windowed(_events(spark, sf_dir), "ts", "1 hour", None, "event_type"), f"windows-{uuid.uuid4().hex}", "complete")
+    return watch.drained(watch.windowed(_events(spark, sf_dir), "ts", "1 hour", None, "event_type"), "complete")
 
 
 def stream_sliding(spark, sf_dir):
     """Two-hour windows every hour."""
-    return watch.drained(watch.windowed(_events(spark, sf_dir), "ts", "2 hours", "1 hour", "event_type"), f"sliding-{uuid.uuid4().hex}", "complete")
+    return watch.drained(watch.windowed(_events(spark, sf_dir), "ts", "2 hours", "1 hour", "event_type"), "complete")
 
 
 def stream_once(spark, sf_dir):
     """Events of a stream without repeated deliveries, per type."""
-    rows = watch.drained(watch.once_within(_events(spark, sf_dir), "event_id", "ts", "1 day"), f"once-{uuid.uuid4().hex}")
+    rows = watch.drained(watch.once_within(_events(spark, sf_dir), "event_id", "ts", "1 day"))
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -37,6 +37,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, dropped when the process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, path)
+    return path
+
+
+def _remove(path: str) -> None:
+    """Drop what this process staged, where the folder is a mounted one;
+    object stores expire it by their own rules."""
+    local = path.removeprefix("file://").removeprefix("file:")
+    if local.startswith("/"):
+        shutil.rmtree(local, ignore_errors=True)
+
+
 def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut.
 
@@ -44,7 +59,7 @@ def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     let later readers prune columns and row groups.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = scratch(spark, "stage")
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)

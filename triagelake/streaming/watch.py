@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.session import shared_dir
+from triagelake.session import scratch, shared_dir
 from triagelake.sources import lisp
 from triagelake.sources.files import EXTENSIONS
 
@@ -58,18 +58,18 @@ def sessions(rows: DataFrame, ts: str, gap: str, *by: str) -> DataFrame:
     return rows.groupBy(F.session_window(ts, gap).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n")
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream gives for the input that is there now, as a table."""
     spark = stream.sparkSession
-    path = f"{shared_dir(spark)}/drained-{name}"
+    path, at = scratch(spark, "drained"), scratch(spark, "drained-at")
     if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-at").outputMode(mode).trigger(availableNow=True).start()
+        q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", at).outputMode(mode).trigger(availableNow=True).start()
         q.awaitTermination()
         return spark.read.schema(stream.schema).parquet(path)
 
     def keep(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(path)
 
-    q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", path + "-at").outputMode(mode).trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", at).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
