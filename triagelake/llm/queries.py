@@ -231,5 +231,20 @@ marked AS (
 SELECT id AS stat_id, group_id FROM (SELECT id, min(id) OVER (PARTITION BY root) AS group_id, count(*) OVER (PARTITION BY root) AS n FROM marked) WHERE n > 1"""
 
 
+_P1 = f"""WITH n AS (
+    SELECT nullif(lower(trim(sha256)), '') AS item, nullif(lower(trim(engine)), '') AS who, scanned_at, label_id,
+           list_filter(regexp_extract_all(lower(result), '[a-z]+'), lambda w: length(w) >= 4 AND w NOT IN ({", ".join(f"'{w}'" for w in annotators.GENERIC_WORDS)}))[1] AS label
+    FROM engine_labels
+), v AS (
+    SELECT item, who, arg_max(label, struct_pack(a := scanned_at, b := label_id)) AS label FROM n
+    WHERE item IS NOT NULL AND who IS NOT NULL AND label IS NOT NULL GROUP BY ALL
+), c AS (SELECT item, label, count(*) AS n FROM v GROUP BY ALL),
+i AS (SELECT item, sum(n) AS m, sum(n * n) AS sq FROM c GROUP BY item HAVING sum(n) > 1),
+o AS (SELECT count(*) AS items, sum(m)::BIGINT AS ratings, sum((m * m - sq) / (m - 1)) AS o FROM i),
+t AS (SELECT sum(n * n)::DOUBLE AS sq FROM (SELECT label, sum(n)::DOUBLE AS n FROM c SEMI JOIN i USING (item) GROUP BY label))
+SELECT items, ratings, round(o / ratings, 6) AS observed, round((ratings::DOUBLE * ratings - sq) / (ratings::DOUBLE * (ratings - 1)), 6) AS expected,
+       round(1 - o / ratings / ((ratings::DOUBLE * ratings - sq) / (ratings::DOUBLE * (ratings - 1))), 6) AS alpha FROM o, t WHERE ratings > 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p3_found": _P3, "p5_percentiles": _P5, "p6_found": _P6}
+    return {"p1_agreement": _P1, "p2_found": _P2, "p3_found": _P3, "p5_percentiles": _P5, "p6_found": _P6}
