@@ -12,6 +12,11 @@ def test_words_and_runs():
     assert [len(x) for x in G.word_hashes([None, "", "__"], G._Hashes())] == [0, 0, 0]
 
 
+def test_ascii_words_are_those_of_the_pattern():
+    texts = ["A_b c-9", "x\x1cy\x00z\x7f", "", "  ", "caf\u00e9 _ 1", "".join(map(chr, range(128)))]
+    assert [G.words_of(t) for t in texts] == [G.WORD.findall(t.lower()) for t in texts]
+
+
 def test_chunks_are_cut_alike_wherever_they_stand():
     text = " ".join(f"w{i * 7919 % 1000}" for i in range(400))
     a = next(G.word_hashes([text], G._Hashes()))

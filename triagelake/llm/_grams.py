@@ -48,20 +48,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_BLANK = {i: " " for i in range(128) if not chr(i).isalnum()}
+
+
+def words_of(text: str | None) -> list[str]:
+    """Words of a text; plain ASCII is split without the pattern, which gives
+    the same words."""
+    if not text:
+        return []
+    text = text.lower()
+    return text.translate(_BLANK).split() if text.isascii() else WORD.findall(text)
+
+
 def word_hashes(texts, cache: _Hashes) -> Iterator[np.ndarray]:
     """One array of word hashes per text; an empty one for a null."""
     look = cache.__getitem__
     for t in texts:
-        words = WORD.findall(t.lower()) if t else ()
+        words = words_of(t)
         yield np.fromiter(map(look, words), np.uint64, len(words))
 
 
+def _different(g: np.ndarray) -> np.ndarray:
+    """The different values, sorted; ``g`` is sorted in place."""
+    g.sort()
+    return g[np.concatenate(([True], g[1:] != g[:-1]))] if len(g) else g
+
+
 def runs(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """The different three-word runs of a text, sorted."""
     if len(h) < 3:
         return np.empty(0, np.uint64)
     g = (h[:-2] * _A + (h[1:-1] ^ (h[1:-1] >> _S)) * _B + h[2:] * _C) ^ np.uint64(salt)
-    return np.unique(mix(g))
+    return _different(mix(g))
 
 
 def chunks(h: np.ndarray, cut: int = 2) -> tuple[np.ndarray, np.ndarray]:
