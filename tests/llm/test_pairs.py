@@ -118,3 +118,15 @@ def test_equal_ids_are_one_record(spark):
     rows = list(enumerate(corpus(9, 30)))
     df = spark.createDataFrame(rows, "row_id long, text string")
     assert {tuple(r) for r in N.pairs(*N.near_duplicates(df, "row_id", ["text"])).collect()} == near_truth(rows)
+
+
+def test_copies_of_repeated_passages_are_found(spark):
+    rng = random.Random(3)
+    texts = [" ".join([f"p{k}q{rng.randrange(9999)}" for _ in range(a)] * b) for k, (a, b) in enumerate([(8, 13), (12, 17), (60, 20), (5, 200)])]
+    texts += ["x " * 200 + "y", "z " * 90 + "y", " ".join(["same"] * 40)]
+    rows = [(2 * k + s, ("train", "test")[s], t, None) for k, t in enumerate(texts) for s in (0, 1)]
+    # a copy that is repeated more often has the same runs
+    rows += [(100, "dev", texts[2] + " " + texts[2], None)]
+    want = overlap_truth(rows)
+    got = {tuple(r) for r in O.found_pairs(spark.createDataFrame(rows, "row_id long, split string, text string, sample string")).collect()}
+    assert got == want and len(want) == len(texts) + 1

@@ -54,9 +54,10 @@ def _survey(texts: DataFrame, min_words: int) -> DataFrame:
             for i, s, h in zip(pdf["id"], pdf["s"], G.word_hashes(pdf["v"], cache)):
                 if len(h) >= min_words:
                     g = G.runs(h)
+                    c, length = G.chunks(h)
                     if s == 0:
-                        sketch.add(G.chunks(h)[0])
-                    out.append((i, s, *G.digest128(g), len(g), len(h), None, None))
+                        sketch.add(c)
+                    out.append((i, s, *G.digest128(g), len(g), int(length.sum()), None, None))
             yield pd.DataFrame(out, columns=["id", "s", "hi", "lo", "n", "words", "part", "counts"])
         yield pd.DataFrame([(None,) * 6 + r for r in sketch.rows()], columns=["id", "s", "hi", "lo", "n", "words", "part", "counts"])
 
@@ -110,7 +111,8 @@ def split_overlap(
     ``members(id, s, hi, lo, n, words)`` has the side ``s`` (0 train,
     1 evaluation); ``links(hi_a, lo_a, hi_b, lo_b, chunk_overlap, held)`` has
     a training class, an evaluation class, the shared part of the latter's
-    words by chunks and the part of its runs that the former holds.
+    words by chunks and the part of its runs that the former holds.  ``words``
+    counts those of the different chunks; classes of equal runs always meet.
     """
     side = F.when(F.col(split).isin(*train), 0).when(F.col(split).isin(*evaluation), 1)
     texts = df.select(F.col(row_id).alias("id"), side.alias("s"), F.col(text).alias("v")).where("s is not null and v is not null")
@@ -142,9 +144,10 @@ def split_overlap(
     packed = G.incidence_blocks(texts, fill, G.n_blocks(total // 2))
     summed = G.product(packed, _multiply(contained), sizes=False)
     words = members.where("s = 1").groupBy(F.col("lo").alias("b")).agg(F.min("words").alias("words"))
-    found = staged(
-        summed.join(words, "b").where(F.col("o") >= F.least(F.lit(LEAST[0]) + LEAST[1] * F.col("words"), F.lit(LEAST[2])) * F.col("words")).select("a", "b", (F.col("o") / F.col("words")).alias("chunk_overlap"))
-    )
+    near = summed.join(words, "b").where(F.col("o") >= F.least(F.lit(LEAST[0]) + LEAST[1] * F.col("words"), F.lit(LEAST[2])) * F.col("words"))
+    near = near.select("a", "b", F.least(F.col("o") / F.col("words"), F.lit(1.0)).alias("chunk_overlap"))
+    equal = members.groupBy("lo").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x < y").select(F.col("lo").alias("a"), F.col("lo").alias("b"), F.lit(1.0).alias("chunk_overlap"))
+    found = staged(near.unionByName(equal).groupBy("a", "b").agg(F.max("chunk_overlap").alias("chunk_overlap")))
 
     wanted = found.select(F.explode(F.array(F.struct(F.col("a").alias("lo"), F.lit(0).alias("s")), F.struct(F.col("b").alias("lo"), F.lit(1).alias("s")))).alias("x")).select("x.*").distinct()
     reps = members.groupBy("hi", "lo", "s").agg(F.min("id").alias("id")).join(wanted, ["lo", "s"], "left_semi")
