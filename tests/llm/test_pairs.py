@@ -130,3 +130,22 @@ def test_copies_of_repeated_passages_are_found(spark):
     want = overlap_truth(rows)
     got = {tuple(r) for r in O.found_pairs(spark.createDataFrame(rows, "row_id long, split string, text string, sample string")).collect()}
     assert got == want and len(want) == len(texts) + 1
+
+
+def test_no_overlap_is_lost_however_edited(spark):
+    """Words are inserted or changed at distances that spoil most chunks."""
+    rng = random.Random(13)
+    rows = []
+    for k in range(600):
+        n, every = rng.choice([20, 30, 60]), rng.choice([8, 9, 10, 12])
+        w = [f"v{rng.randrange(5000)}" for _ in range(n)]
+        v = []
+        for i, x in enumerate(w):
+            if i % every == k % every:
+                v += [f"edit{i}x{k}", x] if k % 3 else [f"edit{i}x{k}"]
+            else:
+                v.append(x)
+        rows += [(2 * k, "train", " ".join(["pre", *v, "post"]), None), (2 * k + 1, "test", " ".join(w), None)]
+    want = overlap_truth(rows)
+    got = {tuple(r) for r in O.found_pairs(spark.createDataFrame(rows, "row_id long, split string, text string, sample string")).collect()}
+    assert got == want and len(want) > 150

@@ -1,21 +1,19 @@
 """Records that stand in two splits, exactly, nearly or as a part (problem 3).
 
-Method: content-defined chunks.  Normalised texts (lower-cased words) are cut
-where a rolling hash hits a cut value, on average every two words, so a
-stretch of text is cut alike in every record; a digest covers two chunks in a
-row.  Chunk digests of
-evaluation records are joined to those of training records in blocks, and the
-word counts of shared chunks are summed into an overlap fraction per pair.
-
-To keep chunks that stand everywhere (shared headers) from pairing everything
-with everything, each evaluation record offers its chunks rare first, by a
-bucketed count over all training chunks, until ``1 - SPARE`` of its words are
-offered.  A pair with an overlap of ``LEAST + SPARE`` (20 % in short texts,
-25 % from 100 words on) shares at least ``LEAST`` of the offered words; such
-pairs are counted exactly on the three-word runs of both whole texts.  Texts
-that hold three quarters of another's runs overlap by more than that: with the
-edits that spoil most (one word in twelve) fewer than one pair in a hundred of
-20 words falls below, and none from 100 words on.
+Method: pairs of texts are met by their three-word runs.  Each evaluation
+text offers its runs rare first, by a bucketed count over all training runs:
+``n - t + k`` of its ``n``, where ``t`` is the number that a training text has
+to hold and ``k`` a tenth of ``n``.  A text that holds ``t`` of them lacks
+``n - t`` at most, so it holds ``k`` of the offered ones, whatever the edits
+and however short the texts.  Training texts send all runs; pairs are
+multiplied in blocks, and those with ``k`` shared offered runs are counted
+exactly on both whole texts.
+
+Of the pairs found, the overlap by content-defined chunks is given too:
+normalised texts (lower-cased words) are cut where a rolling hash hits a cut
+value, on average every two words, so a stretch of text is cut alike in every
+record; a digest covers two chunks in a row, and the word counts of shared
+chunks are summed.
 
 Defined results: null splits, null texts and texts under 20 words take no
 part in the comparison of texts; records whose normalised ``sample`` values
@@ -34,10 +32,8 @@ from triagelake.llm import _grams as G
 from triagelake.session import staged
 
 CONTAINED = 0.75
-# shared part of the offered words that a pair is counted from: of short texts
-# a small edit spoils more, so their part is lower
-SPARE = 0.16
-LEAST = (0.03, 0.0006, 0.09)
+# shared runs that a pair is counted from: one in so many of the evaluation text
+TENTH = 10
 STEP = 1_000_000
 
 
@@ -54,24 +50,23 @@ def _survey(texts: DataFrame, min_words: int) -> DataFrame:
             for i, s, h in zip(pdf["id"], pdf["s"], G.word_hashes(pdf["v"], cache)):
                 if len(h) >= min_words:
                     g = G.runs(h)
-                    c, length = G.chunks(h)
                     if s == 0:
-                        sketch.add(c)
-                    out.append((i, s, *G.digest128(g), len(g), int(length.sum()), None, None))
-            yield pd.DataFrame(out, columns=["id", "s", "hi", "lo", "n", "words", "part", "counts"])
-        yield pd.DataFrame([(None,) * 6 + r for r in sketch.rows()], columns=["id", "s", "hi", "lo", "n", "words", "part", "counts"])
+                        sketch.add(g)
+                    out.append((i, s, *G.digest128(g), len(g), None, None))
+            yield pd.DataFrame(out, columns=["id", "s", "hi", "lo", "n", "part", "counts"])
+        yield pd.DataFrame([(None,) * 5 + r for r in sketch.rows()], columns=["id", "s", "hi", "lo", "n", "part", "counts"])
 
-    return texts.mapInPandas(scan, "id bigint, s int, hi bigint, lo bigint, n int, words int, part int, counts binary")
+    return texts.mapInPandas(scan, "id bigint, s int, hi bigint, lo bigint, n int, part int, counts binary")
 
 
 def _multiply(contained: float):
-    """Shared chunk words of the (train, evaluation) pairs within a block."""
+    """Shared offered runs of the (train, evaluation) pairs within a block."""
 
     def run(blobs):
-        g, d, w, ns, sides, ids = G.unpack(blobs)
+        g, d, _, ns, sides, ids = G.unpack(blobs)
         ev = sides[d] == 1
         tg, td = g[~ev], d[~ev]
-        eg, ed, ew = g[ev], d[ev], w[ev]
+        eg, ed = g[ev], d[ev]
         lo = np.searchsorted(tg, eg, "left")
         left = np.searchsorted(tg, eg, "right") - lo
         counts = G.PairCounts(ns, ids, ordered=True)
@@ -90,7 +85,7 @@ def _multiply(contained: float):
             left[take] -= k
             x, y = td[t], ed[e]
             ok = ns[x] >= contained * ns[y] - 1e-9
-            yield from counts.add(x[ok], y[ok], ew[e][ok])
+            yield from counts.add(x[ok], y[ok])
         yield counts.frame()
 
     return run
@@ -108,17 +103,16 @@ def split_overlap(
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of texts by side, and the pairs of classes that overlap.
 
-    ``members(id, s, hi, lo, n, words)`` has the side ``s`` (0 train,
+    ``members(id, s, hi, lo, n)`` has the side ``s`` (0 train,
     1 evaluation); ``links(hi_a, lo_a, hi_b, lo_b, chunk_overlap, held)`` has
     a training class, an evaluation class, the shared part of the latter's
-    words by chunks and the part of its runs that the former holds.  ``words``
-    counts those of the different chunks; classes of equal runs always meet.
+    words by chunks and the part of its runs that the former holds.
     """
     side = F.when(F.col(split).isin(*train), 0).when(F.col(split).isin(*evaluation), 1)
     texts = df.select(F.col(row_id).alias("id"), side.alias("s"), F.col(text).alias("v")).where("s is not null and v is not null")
     survey = staged(_survey(texts, min_words))
-    members = survey.where("id is not null").select("id", "s", "hi", "lo", "n", "words")
-    total = members.agg(F.sum("words")).first()[0] or 0
+    members = survey.where("id is not null").select("id", "s", "hi", "lo", "n")
+    total = members.agg(F.sum("n")).first()[0] or 0
     counts = df.sparkSession.sparkContext.broadcast(G.merged_sketch(survey.where("part is not null").select("part", "counts")))
 
     def fill(pdf, blocks, state):
@@ -132,22 +126,17 @@ def split_overlap(
             if (lo, s) in seen:
                 continue
             seen.add((lo, s))
-            c, length = G.chunks(h)
+            n = len(g)
             if s:
-                order = G.rare_first(c, counts.value)
-                c, length = c[order], length[order]
-                offered = np.cumsum(length)
-                keep = int(np.searchsorted(offered, (1 - SPARE) * offered[-1])) + 1
-                c, length = c[:keep], length[:keep]
-            blocks.add(lo, len(g), s, c, length)
-
-    packed = G.incidence_blocks(texts, fill, G.n_blocks(total // 2))
+                t = int(np.ceil(contained * n - 1e-9))
+                g = g[G.rare_first(g, counts.value)[: n - t + min(t, -(-n // TENTH))]]
+            blocks.add(lo, n, s, g)
+
+    packed = G.incidence_blocks(texts, fill, G.n_blocks(total))
     summed = G.product(packed, _multiply(contained), sizes=False)
-    words = members.where("s = 1").groupBy(F.col("lo").alias("b")).agg(F.min("words").alias("words"))
-    near = summed.join(words, "b").where(F.col("o") >= F.least(F.lit(LEAST[0]) + LEAST[1] * F.col("words"), F.lit(LEAST[2])) * F.col("words"))
-    near = near.select("a", "b", F.least(F.col("o") / F.col("words"), F.lit(1.0)).alias("chunk_overlap"))
-    equal = members.groupBy("lo").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x < y").select(F.col("lo").alias("a"), F.col("lo").alias("b"), F.lit(1.0).alias("chunk_overlap"))
-    found = staged(near.unionByName(equal).groupBy("a", "b").agg(F.max("chunk_overlap").alias("chunk_overlap")))
+    sizes = members.where("s = 1").groupBy(F.col("lo").alias("b")).agg(F.min("n").alias("n"))
+    need = F.least(F.ceil(contained * F.col("n") - 1e-9), F.ceil(F.col("n") / TENTH))
+    found = staged(summed.join(sizes, "b").where(F.col("o") >= need).select("a", "b"))
 
     wanted = found.select(F.explode(F.array(F.struct(F.col("a").alias("lo"), F.lit(0).alias("s")), F.struct(F.col("b").alias("lo"), F.lit(1).alias("s")))).alias("x")).select("x.*").distinct()
     reps = members.groupBy("hi", "lo", "s").agg(F.min("id").alias("id")).join(wanted, ["lo", "s"], "left_semi")
@@ -155,21 +144,26 @@ def split_overlap(
     def sets(it):
         cache = G._Hashes()
         for pdf in it:
-            gs = [G.runs(h).tobytes() for h in G.word_hashes(pdf["v"], cache)]
-            yield pd.DataFrame({"s": pdf["s"], "hi": pdf["hi"], "lo": pdf["lo"], "g": gs})
+            out = []
+            for s, hi, lo, h in zip(pdf["s"], pdf["hi"], pdf["lo"], G.word_hashes(pdf["v"], cache)):
+                c, length = G.chunks(h)
+                out.append((s, hi, lo, G.runs(h).tobytes(), c.tobytes(), length.astype(np.int32).tobytes() if s else b""))
+            yield pd.DataFrame(out, columns=["s", "hi", "lo", "g", "c", "w"])
+
+    sets_of = texts.join(reps, ["id", "s"]).select("s", "hi", "lo", "v").mapInPandas(sets, "s int, hi bigint, lo bigint, g binary, c binary, w binary")
+    a = sets_of.where("s = 0").select(F.col("hi").alias("hi_a"), F.col("lo").alias("a"), F.col("g").alias("ga"), F.col("c").alias("ca"))
+    b = sets_of.where("s = 1").select(F.col("hi").alias("hi_b"), F.col("lo").alias("b"), F.col("g").alias("gb"), F.col("c").alias("cb"), "w")
 
-    sets_of = texts.join(reps, ["id", "s"]).select("s", "hi", "lo", "v").mapInPandas(sets, "s int, hi bigint, lo bigint, g binary")
-    a = sets_of.where("s = 0").select(F.col("hi").alias("hi_a"), F.col("lo").alias("a"), F.col("g").alias("ga"))
-    b = sets_of.where("s = 1").select(F.col("hi").alias("hi_b"), F.col("lo").alias("b"), F.col("g").alias("gb"))
+    def shared(x, y):
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        return x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
 
     def check(it):
         for pdf in it:
-            held = []
-            for x, y in zip(pdf["ga"], pdf["gb"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                p = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                held.append(float((x[p] == y).sum() / len(y)))
-            out = pdf[["hi_a", "a", "hi_b", "b", "chunk_overlap"]].set_axis(["hi_a", "lo_a", "hi_b", "lo_b", "chunk_overlap"], axis=1)
+            out = pdf[["hi_a", "a", "hi_b", "b"]].set_axis(["hi_a", "lo_a", "hi_b", "lo_b"], axis=1)
+            held = [float(shared(x, y).mean()) for x, y in zip(pdf["ga"], pdf["gb"])]
+            words = [np.frombuffer(w, np.int32) for w in pdf["w"]]
+            out["chunk_overlap"] = [float(w[shared(x, y)].sum() / w.sum()) for x, y, w in zip(pdf["ca"], pdf["cb"], words)]
             out["held"] = held
             yield out[out["held"] >= contained - 1e-12]
 
