@@ -57,6 +57,21 @@ def test_names_expressions_and_rendering(spark):
     assert V.light_mode(B.frames(i), B.bindings(i)).first().light is False
 
 
+def test_all_calls_and_arguments_are_rendered(spark):
+    def files(code):
+        return spark.createDataFrame([("s", bytearray([1, 0, 0, 0, 0x14, 0, 0, 0, 0, *code, 0x16]), ["f", "g"], [])], "sample_id string, code binary, symbols array<string>, strings array<string>")
+
+    i = B.instructions(files([0x35, 0, 0, 0, 0, 0x0A] * 200))
+    names, e = V.function_names(i), V.expressions(i)
+    assert V.rendered(names, e).first().source.count("(f)") == 200
+    short = V.rendered(names, e, compact=150).first().source
+    assert short.count("(f)") == 150 and "... 50 additional calls omitted" in short
+    # g takes 70 arguments; the next call sees its result and nothing else
+    i = B.instructions(files([0x01] * 70 + [0x35, 70, 1, 0, 0, 0x35, 2, 0, 0, 0]))
+    got = [r.expression for r in V.expressions(i).orderBy("seq").collect()]
+    assert got == [f"(g{' nil' * 70})", f"(f ? (g{' nil' * 70}))"]
+
+
 def test_items_and_comparison(spark):
     src = V.source_items(spark.createDataFrame([("s", '(defun Go () (vl-file-copy "some file" b) (foo))'), ("n", None)], "sample_id string, text string"))
     assert {(r.kind, r.item) for r in src.collect()} == {("function", "go"), ("api", "vl-file-copy"), ("string", "some file")}

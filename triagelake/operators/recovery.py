@@ -110,8 +110,10 @@ def expressions(instr: DataFrame) -> DataFrame:
             elif r.name in _UNARY:
                 stack.append(f"({_UNARY[r.name]} {pop()})"[:MAX_EXPRESSION])
             elif r.name in ("MAKE_LIST", "LD_LIST") or r.name in ("CALL", "CALL_JMP"):
-                n = ops[0]
-                args = [pop() for _ in range(min(n, 64))][::-1]
+                # all that the count names; of those missing, as many as the length can show
+                have = min(ops[0], len(stack))
+                args = ["?"] * min(ops[0] - have, MAX_EXPRESSION) + stack[len(stack) - have :]
+                del stack[len(stack) - have :]
                 head = "list" if r.name in ("MAKE_LIST", "LD_LIST") else r.text or f"sym_{ops[1]}"
                 text = f"({' '.join([head, *args])})"[:MAX_EXPRESSION]
                 stack.append(text)
@@ -126,12 +128,22 @@ def expressions(instr: DataFrame) -> DataFrame:
     return instr.groupBy("sample_id").applyInPandas(run, "sample_id string, seq int, frame int, callee string, expression string")
 
 
-def rendered(names: DataFrame, exprs: DataFrame, calls: int = 128) -> DataFrame:
-    """Recovered source of each function: its first calls in order."""
+def rendered(names: DataFrame, exprs: DataFrame, compact: int | None = None) -> DataFrame:
+    """Recovered source of each function: its calls in order.
+
+    All of them, unless the compact form is asked for with the number of calls
+    to keep, which says at the end how many it leaves out.
+    """
     w = Window.partitionBy("sample_id", "frame").orderBy("seq")
-    kept = exprs.where("frame is not null").withColumn("k", F.row_number().over(w)).where(F.col("k") <= calls)
-    body = kept.groupBy("sample_id", "frame").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "expression"))), lambda x: F.concat(F.lit("  "), x["expression"])), "\n").alias("body"))
-    return names.join(body, ["sample_id", "frame"], "left").select("sample_id", "frame", "name", F.concat(F.lit("(defun "), "name", F.lit(" ()\n"), F.coalesce("body", F.lit("")), F.lit(")")).alias("source"))
+    calls = exprs.where("frame is not null").withColumn("k", F.row_number().over(w))
+    line = F.struct("seq", F.concat(F.lit("  "), "expression").alias("line"))
+    kept = line if compact is None else F.when(F.col("k") <= compact, line)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["line"]), "\n")
+    if compact is not None:
+        rest = F.max("k") - compact
+        body = F.concat(body, F.when(rest > 0, F.concat(F.lit("\n  ;; ... "), rest.cast("string"), F.lit(" additional calls omitted in compact mode\n"))).otherwise(""))
+    bodies = calls.groupBy("sample_id", "frame").agg(body.alias("body"))
+    return names.join(bodies, ["sample_id", "frame"], "left").select("sample_id", "frame", "name", F.concat(F.lit("(defun "), "name", F.lit(" ()\n"), F.coalesce("body", F.lit("")), F.lit(")")).alias("source"))
 
 
 # --------------------------------------------------------------- comparisons
