@@ -48,6 +48,16 @@ def test_text_garbled_twice_and_in_part():
     assert B.decode_spans("xÃ¼y", "cp1252")[0] == "xüy"
 
 
+def test_words_of_lost_continuations_only(spark):
+    values = ["Ð?Ð?", "x Ð?Ñ?Ð?Ð? 7", "Ã?nÄ?", "MÃ?", "Å? Ö?"]
+    got = {r.idx: r for r in B.restored(*tables(spark, values)).where("origin = 'resource'").collect()}
+    assert set(got) == {0, 1, 2} and not any(r.restorable for r in got.values())
+    # the third lead is the lost one; the others are letters of the word
+    known = ["ÄnÄkóä"] * 12 + ["ÄnÄkÃä"]
+    got = {r.idx: r.restored for r in B.restored(*tables(spark, known)).where("origin = 'resource'").collect()}
+    assert got == {12: known[0]}
+
+
 def test_the_automaton():
     assert B.utf8_spans("aé漢".encode()) == [(1, 6)]
     assert B.utf8_spans(b"\xc0\x80\xed\xa0\x80\xf5\x80\xe9") == []

@@ -6,8 +6,9 @@ only.  This is done for the distinct words of the corpus, once each.
 
 Two kinds of evidence make a word garbled.
 
-* Structure: a replacement character or a C1 control; or spans of UTF-8 among
-  the legacy bytes that decode to plausible characters and leave no letter of
+* Structure: a replacement character or a C1 control; lead characters with a
+  question mark for the byte after them, twice or more in a word; or spans of
+  UTF-8 among the legacy bytes that decode to plausible characters and leave no letter of
   the surrounding run over.  Spans are decoded again while that works, which
   undoes text garbled twice.
 * Vocabulary: the bytes, read in another legacy encoding, give a word (or, for
@@ -228,10 +229,14 @@ def _read_again(word: str) -> list[str]:
 _LEAD = re.compile(r"([ÂÃÄÅÐÑ])(\??)(?![-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ])")
 
 
+_LOST = re.compile(r"[ÂÃÄÅÐÑ]\?")
+
+
 def _fill(word: str) -> list[str]:
-    """A lead character whose continuation got lost: every way to fill it."""
+    """A lead character whose continuation got lost: every way to fill it,
+    for each such character by itself."""
     found = []
-    for m in list(_LEAD.finditer(word))[:2]:
+    for m in _LEAD.finditer(word):
         lead = _TABLES["cp1252"][m.group(1)]
         for c in range(0x80, 0xC0):
             ch = bytes((lead, c)).decode("utf-8")
@@ -248,7 +253,7 @@ def analyse(word: str) -> tuple[bool, str, bool, list[str]]:
         if following is None:
             break
         text = following
-    lost = "�" in word or any(0x80 <= ord(c) < 0xA0 for c in text)
+    lost = "�" in word or any(0x80 <= ord(c) < 0xA0 for c in text) or len(_LOST.findall(text)) > 1
     if text != word or lost or any(0x80 <= ord(c) < 0xA0 for c in word):
         # the bytes may still be of another encoding than the spans suggest
         return True, text, not lost, [] if "�" in word else _read_again(word)
