@@ -115,6 +115,14 @@ def test_calls_through_aliases(spark):
     assert {(r.caller, r.callee) for r in G.call_targets(calls, functions, aliases).collect()} == {("main", "real")}
 
 
+def test_calls_through_a_long_chain_of_aliases(spark):
+    calls = spark.createDataFrame([("s", "main", "a0", 1)], "sample_id string, fn string, name string, line int").coalesce(1)
+    functions = spark.createDataFrame([("s", "main"), ("s", "real")], "sample_id string, fn string").coalesce(1)
+    steps = [("s", "main", f"a{i}", f"a{i + 1}") for i in range(65)] + [("s", "main", "a65", "real"), ("s", "main", "a9", "a3")]
+    aliases = spark.createDataFrame(steps, "sample_id string, fn string, name string, target string").coalesce(1)
+    assert [(r.caller, r.callee) for r in G.call_targets(calls, functions, aliases).collect()] == [("main", "real")]
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), min_size=1, max_size=14))
 def test_components_agree_with_union_find(spark, pairs):

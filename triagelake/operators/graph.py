@@ -7,6 +7,8 @@ pairs, with the lineage cut each round.
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from triagelake.session import staged
 
 
-def call_targets(calls: DataFrame, functions: DataFrame, aliases: DataFrame, max_rounds: int = 64) -> DataFrame:
+def call_targets(calls: DataFrame, functions: DataFrame, aliases: DataFrame) -> DataFrame:
     """Edges ``(sample_id, caller, callee)`` to known functions, directly or
     through the aliases that the caller and the top level assign."""
     called = calls.select("sample_id", F.col("fn").alias("caller"), F.col("name").alias("symbol")).where("symbol <> ''").distinct()
@@ -27,7 +29,7 @@ def call_targets(calls: DataFrame, functions: DataFrame, aliases: DataFrame, max
     steps = staged(own.unionByName(top.select("sample_id", "caller", "symbol", "next")).where("next <> '' and symbol <> next").distinct())
     frontier = staged(hit.where("callee is null").select("sample_id", "caller", "symbol"))
     seen = frontier
-    for _ in range(max_rounds):
+    for rounds in count(1):  # ends, as only new symbols go on
         moved = frontier.join(steps, ["sample_id", "caller", "symbol"]).select("sample_id", "caller", F.col("next").alias("symbol")).distinct()
         moved = staged(moved.join(seen, ["sample_id", "caller", "symbol"], "left_anti"))
         if moved.isEmpty():
@@ -35,6 +37,8 @@ def call_targets(calls: DataFrame, functions: DataFrame, aliases: DataFrame, max
         k = known.withColumnRenamed("callee", "symbol")
         found = staged(found.unionByName(moved.join(k, ["sample_id", "symbol"], "left_semi").select("sample_id", "caller", F.col("symbol").alias("callee"))).distinct())
         seen = seen.unionByName(moved)
+        if rounds % 8 == 0:
+            seen = staged(seen)
         frontier = moved.join(k, ["sample_id", "symbol"], "left_anti")
     return found.distinct()
 
@@ -43,14 +47,14 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select("sample_id", F.col("callee").alias("caller"), F.col("caller").alias("callee"))
 
 
-def closure(edges: DataFrame, max_depth: int = 1_000) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """``(sample_id, src, dst, depth)`` of all pairs joined by a path of one
     edge or more; depth is that of a shortest path."""
     e = staged(edges.select("sample_id", "caller", "callee").distinct())
     step = e.select("sample_id", F.col("caller").alias("dst"), F.col("callee").alias("next"))
     frontier = e.select("sample_id", F.col("caller").alias("src"), F.col("callee").alias("dst"), F.lit(1).alias("depth"))
     reached = frontier
-    for depth in range(2, max_depth + 1):
+    for depth in count(2):  # ends, as only new pairs go on
         new = frontier.join(step, ["sample_id", "dst"]).select("sample_id", "src", F.col("next").alias("dst")).distinct()
         new = staged(new.join(reached.select("sample_id", "src", "dst"), ["sample_id", "src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
