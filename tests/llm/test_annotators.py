@@ -64,6 +64,12 @@ def test_rounds_equal_a_plain_version(spark):
     assert {r.item: r.label for r in c.result.collect()} == {i: winner(v) for i, v in votes.items()}
 
 
+def test_items_with_two_votes_are_judged(spark):
+    rows = [(str(i), w, "x" if w == "a" or i < 6 else "y", 0) for i in range(8) for w in "ab"]
+    who = {r.annotator: (r.judged_votes, round(r.reliability, 6)) for r in rate(spark, rows).annotators.collect()}
+    assert who == {"a": (8, round(11 / 18, 6)), "b": (8, round(11 / 18, 6))}
+
+
 def test_alpha_of_a_published_example(spark):
     # two coders, ten units, nominal data
     a = [0, 1, 0, 0, 0, 0, 0, 0, 1, 0]

@@ -2,7 +2,8 @@
 
 Method: iteratively reweighted voting.  Each round gives every item the label
 with the largest weighted support, and every annotator a smoothed accuracy
-against the consensus of the *other* annotators (leave one out); the weights
+against the consensus of the *other* annotators (leave one out) over all
+items that have others, two votes or more; the weights
 of the next round follow from it, until no accuracy moves.  A weight is the
 log-odds of the accuracy, so annotators right less than half of the time
 (also groups that copy each other's mistakes) hardly count.  Agreement is
@@ -145,7 +146,7 @@ def weights(accuracy: np.ndarray) -> np.ndarray:
 
 def consensus(
     ratings: DataFrame, item: Column, annotator: Column, label: Column, order: Column,
-    min_voters: int = 3, smoothing: float = SMOOTHING, max_rounds: int = MAX_ROUNDS,
+    min_voters: int = 2, smoothing: float = SMOOTHING, max_rounds: int = MAX_ROUNDS,
 ) -> Consensus:
     items, names = gather(ratings, item, annotator, label, order)
     spark = items.sparkSession
