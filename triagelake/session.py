@@ -89,13 +89,29 @@ def join_unique(
     return salted.join(unique, [key, "_salt"], how).drop("_salt")
 
 
+def join_split(left: DataFrame, right: DataFrame, key: str, hot: list, salts: int = 16) -> DataFrame:
+    """Inner join on ``key`` where both sides may hold many rows of a key.
+
+    Rows of ``left`` with a key in ``hot`` are spread over ``salts`` buckets,
+    those of ``right`` are repeated in each, so the pairs of a hot key are
+    made by that many tasks.
+    """
+    k = F.col(f"`{key}`")
+    if not hot:
+        return left.join(right, key)
+    spread_row = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")
+    salted = left.withColumn("_salt", F.when(k.isin(hot), spread_row).otherwise(F.lit(0)))
+    copies = F.when(k.isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(right.withColumn("_salt", F.explode(copies)), [key, "_salt"]).drop("_salt")
+
+
 def hot_keys(df: DataFrame, key: str | Column, share: float = 0.02) -> list:
-    """Values of ``key`` that hold at least ``share`` of the rows.
+    """Values of ``key`` that hold at least about ``share`` of the rows.
 
-    At most ``1 / share`` values can qualify, so the result is bounded
-    whatever the size of the input.
+    One pass with a summary of fixed size in each task, no shuffle of the
+    keys.  At most ``1 / share`` values can qualify, so the result is bounded
+    whatever the size of the input; it steers the spreading of rows only.
     """
     col = F.col(key) if isinstance(key, str) else key
-    counts = df.groupBy(col.alias("k")).agg(F.count(F.lit(1)).alias("n")).where("k is not null")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return [r["k"] for r in counts.where(F.col("n") >= total * share).select("k").collect()]
+    n, top = df.agg(F.count(col), F.call_function("approx_top_k", col, F.lit(int(1 / share)), F.lit(8_192))).first()
+    return [x["item"] for x in top or () if x["item"] is not None and x["count"] >= n * share]
