@@ -3,6 +3,7 @@
 import random
 
 from tests.llm.test_grams import brute_sets
+from triagelake.llm import _grams as G
 from triagelake.llm import near_duplicates as N
 from triagelake.llm import split_overlap as O
 
@@ -149,3 +150,43 @@ def test_no_overlap_is_lost_however_edited(spark):
     want = overlap_truth(rows)
     got = {tuple(r) for r in O.found_pairs(spark.createDataFrame(rows, "row_id long, split string, text string, sample string")).collect()}
     assert got == want and len(want) > 150
+
+
+def test_hot_runs_are_split_and_lose_nothing(spark, monkeypatch):
+    """Pieces of a few texts; workers are forked anew with the new bound."""
+    from pyspark import cloudpickle
+
+    monkeypatch.setattr(G, "HOT", 4)
+    monkeypatch.setattr(G, "FAN", 3)
+    cloudpickle.register_pickle_by_value(G)
+    try:
+        rng = random.Random(21)
+        head = [f"h{i}" for i in range(30)]
+        rows = [(i, " ".join(head + [rng.choice(WORDS) for _ in range(rng.randint(4, 14))])) for i in range(80)]
+        df = spark.createDataFrame(rows, "row_id long, text string")
+        want = near_truth(rows)
+        assert {tuple(r) for r in N.pairs(*N.near_duplicates(df, "row_id", ["text"])).collect()} == want and len(want) > 1000
+        both = [(i, ("train", "test")[i % 2], t, None) for i, t in rows]
+        df = spark.createDataFrame(both, "row_id long, split string, text string, sample string")
+        assert {tuple(r) for r in O.found_pairs(df).collect()} == overlap_truth(both)
+    finally:
+        cloudpickle.unregister_pickle_by_value(G)
+
+
+def test_larger_chunks_find_copies_and_parts(spark):
+    rng = random.Random(8)
+    long = [[f"c{rng.randrange(9000)}" for _ in range(300)] for _ in range(20)]
+    rows = [(2 * k, "train", " ".join(["pre", *w, "post"]), None) for k, w in enumerate(long)]
+    rows += [(2 * k + 1, "dev", " ".join(w[50:250]), None) for k, w in enumerate(long)]
+    df = spark.createDataFrame(rows, "row_id long, split string, text string, sample string")
+    want = overlap_truth(rows)
+    for cut in (1, 4):
+        assert {tuple(r) for r in O.found_pairs(df, cut=cut).collect()} == want and len(want) == 20
+
+
+def test_classes_across_splits(spark):
+    t = " ".join(f"k{i}" for i in range(40))
+    rows = [(1, "train", t, None), (2, "train", t, "S"), (3, "dev", t, None), (4, "test", t + " more", "s"), (5, "dev", "w " * 30, None)]
+    df = spark.createDataFrame(rows, "row_id long, split string, text string, sample string")
+    got = {r.row_id: (r.side, r.class_id, r.class_rows, r.links) for r in O.classes(*O.split_overlap(df)).collect()}
+    assert got == {1: ("train", 1, 2, 2), 2: ("train", 1, 2, 2), 3: ("evaluation", 3, 1, 1), 4: ("evaluation", 4, 1, 1), 5: ("evaluation", 5, 1, 0)}
