@@ -428,9 +428,12 @@ def product(packed: DataFrame, multiply, blocks: int) -> DataFrame:
         if held:
             yield from multiply(Incidences(held))
 
-    by_block = packed.repartition(blocks, "block").sortWithinPartitions("block")
+    # a block is a task: blocks are not hashed, which would put some together
+    by_block = packed.repartitionById(blocks, F.col("block")).sortWithinPartitions("block")
     part = by_block.mapInPandas(run, "a_hi int, a_lo bigint, b_hi int, b_lo bigint, o bigint, least int")
-    summed = part.groupBy(*PAIR).agg(F.sum("o").alias("o"), F.min("least").alias("least"))
+    # within a block pairs are summed up already, so there is little to combine
+    # before the shuffle, and its tasks follow the number of blocks
+    summed = part.repartition(blocks, *PAIR).groupBy(*PAIR).agg(F.sum("o").alias("o"), F.min("least").alias("least"))
     return summed.where("o >= least").select(*PAIR)
 
 
@@ -472,7 +475,7 @@ class PairCounts:
 # --------------------------------------------------------------- exact counts
 
 
-def compared(values: DataFrame, members: DataFrame, found: DataFrame, pack, judge, schema: str, sides: tuple[int, int] | None = None) -> DataFrame:
+def compared(values: DataFrame, members: DataFrame, found: DataFrame, pack, judge, schema: str, tasks: int, sides: tuple[int, int] | None = None) -> DataFrame:
     """``judge(own, other)`` on whole texts for each pair of ``found``.
 
     ``values(id, s, v)`` are the texts, ``members(id, s, hi, lo)`` their
@@ -493,7 +496,7 @@ def compared(values: DataFrame, members: DataFrame, found: DataFrame, pack, judg
         own, other, keys = own.withColumn("s", F.lit(sides[0])), other.withColumn("s", F.lit(sides[1])), ["hi", "lo", "s"]
     routes = own.unionByName(other).groupBy(*keys, F.pmod(F.xxhash64("to"), F.lit(ROUTE_SLICES)).alias("slice")).agg(F.collect_list("to").alias("to"))
     reps = members.groupBy("hi", "lo", "s").agg(F.min("id").alias("id"))
-    texts = values.join(reps.join(routes, keys).select("id", "s", "hi", "lo", "to"), ["id", "s"])
+    texts = values.repartition(tasks, "id", "s").join(reps.join(routes, keys).select("id", "s", "hi", "lo", "to"), ["id", "s"])
     sent_type = "at_hi int, at_lo bigint, piece int, end int, s int, hi int, lo bigint, x binary, y binary, z binary"
     names = [c.split()[0] for c in sent_type.split(", ")]
 
@@ -523,7 +526,7 @@ def compared(values: DataFrame, members: DataFrame, found: DataFrame, pack, judg
             yield pd.DataFrame(out, columns=["s", *PAIR, *[c.split()[0] for c in schema.split(", ")]])
 
     sent = texts.select("s", "hi", "lo", "to", "v").mapInPandas(send, sent_type)
-    by = sent.repartition("at_hi", "at_lo", "piece").sortWithinPartitions("at_hi", "at_lo", "piece", "end")
+    by = sent.repartition(tasks, "at_hi", "at_lo", "piece").sortWithinPartitions("at_hi", "at_lo", "piece", "end")
     return by.mapInPandas(meet, "s int, a_hi int, a_lo bigint, b_hi int, b_lo bigint, " + schema)
 
 

@@ -131,7 +131,7 @@ def near_duplicates(df: DataFrame, row_id: str, fields: list[str], threshold: fl
         j = k / (len(x) + len(y) - k)
         return (k, j) if j >= t - 1e-12 else None
 
-    return members, G.compared(values, members, found, pack, judge, "overlap int, likeness double")
+    return members, G.compared(values, members, found, pack, judge, "overlap int, likeness double", blocks)
 
 
 def pairs(members: DataFrame, links: DataFrame) -> DataFrame:

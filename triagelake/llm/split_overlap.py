@@ -166,7 +166,7 @@ def split_overlap(
         held = float(w[G.shared(t, e)].sum() / w.sum())
         return (held,) if held >= contained - 1e-12 else None
 
-    links = G.compared(texts, members, found, pack, judge, "held double", sides=(1, 0))
+    links = G.compared(texts, members, found, pack, judge, "held double", blocks, sides=(1, 0))
     return members, links.select(F.col("a_hi").alias("b_hi"), F.col("a_lo").alias("b_lo"), F.col("b_hi").alias("a_hi"), F.col("b_lo").alias("a_lo"), "held")
 
 
