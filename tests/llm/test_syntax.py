@@ -13,13 +13,16 @@ BAD_LISP = {
 }
 HEAD = 'Attribute VB_Name = "m"\nOption Explicit\n'
 GOOD_VBA = [
-    "", "﻿' note", HEAD, HEAD + "Private a As Double\nPublic Sub b()\nEnd Sub\n", "Sub a()\r\n  If x > 1 Then\r\n y = 2\r\n Else\r\n z\r\n End If\r\nEnd Sub",
+    "", "﻿' note", HEAD, "Sub a(b, _\n  c)\nIf x And _\n  y Then\nz = 1\nEnd If\nEnd Sub", "Sub a()\nFor i = 1 To 2\nFor j = 1 To 2\nNext j, i\nEnd Sub",
+    HEAD + "Private a As Double\nPublic Sub b()\nEnd Sub\n", "Sub a()\r\n  If x > 1 Then\r\n y = 2\r\n Else\r\n z\r\n End If\r\nEnd Sub",
     "Sub a()\nIf x = 1 Then y = 2\nFor i = 0 To 3\nNext i\nFor j = 1 To 2\nNext\nEnd Sub", "Function f(a As Long)\nWith x\nDo While y < 3\nLoop\nEnd With\nEnd Function",
     "Sub a()\nx = \"it's \"\"quoted\"\" If Then\" ' Loop\nEnd Sub", "Sub a()\n' <<<<<<< note\nRem =======\nEnd Sub",
 ]
 BAD_VBA = [
     "Sub a()\n", "Sub a()\nEnd Function", "x = 1", "Sub a()\nIf x Then\nEnd Sub", "Sub a()\nFor i = 0 To 3\nNext j\nEnd Sub", "Sub a()\nLoop\nEnd Sub", "Sub a()\nx = \"open\nEnd Sub",
     "Sub a()\n=======\nEnd Sub", HEAD + "Private a As", "Sub a()\nSub b()\nEnd Sub\nEnd Sub", "(defun a ())", "; note", "Sub a()\nWith x\nEnd Sub", "Sub a()\nElse\nEnd Sub", "End Sub",
+    "Sub a()\nFor i = 1 To 2\nFor j = 1 To 2\nNext i, j\nEnd Sub", "Sub a()\nx = 1 + _",
+    "Private Const A = 1\n", "Type T\nx As Long\nEnd Type", "Dim a, b As Long\n", "Property Get z()\nEnd Property",
 ]
 
 
@@ -43,6 +46,35 @@ def test_bad_vba(text):
     assert X.judge("lsp-vba", text)[0] != "ok"
 
 
+WHOLE = """Option Base 1
+Private Const A = 1, B = 2
+Private Type T
+  x As Long
+  y As String * 5
+End Type
+Enum E
+  a = 1
+End Enum
+Dim p, q As Long
+Declare PtrSafe Function g Lib "k" () As Long
+Property Get Z() As Long
+  Select Case x
+  Case 1, 2
+    y = 1
+  Case Else
+    While x
+    Wend
+  End Select
+End Property
+"""
+
+
+def test_the_whole_language_is_a_parameter():
+    assert X.judge("lsp-vba", WHOLE, full=True)[0] == "ok" and X.judge("lsp-vba", WHOLE)[0] != "ok"
+    for x in ("  End Select\n", "    Wend\n", "End Type\n", "End Enum\n", "  Case Else\n    While x\n"):
+        assert X.judge("lsp-vba", WHOLE.replace(x, ""), full=True)[0] != "ok"
+
+
 def test_the_failing_token_is_named():
     assert X.judge("lsp", "(a)\n\n(b))") == ("failed", 3, "close")
     assert X.judge("lsp-vba", "Sub a()\nLoop\nEnd Sub") == ("failed", 2, "loop")
