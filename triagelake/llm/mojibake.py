@@ -17,7 +17,9 @@ Two kinds of evidence make a word garbled.
 
 Defined results: null and pure ASCII values are no cases.  A value is restored
 where each of its garbled words is; what was lost (replacement characters,
-dropped bytes) stays as it is and the value is marked not restorable.
+dropped bytes) stays as it is and the value is marked not restorable.  The
+route says what gave the value away: ``spans`` (the automaton's, in any of its
+words), else ``lost`` (bytes that are gone), else ``vocabulary``.
 Repeated rows of the same key and value give one row; empty tables give none.
 """
 
@@ -29,9 +31,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.session import staged
+from triagelake.session import hot_keys, join_unique, staged
 
 RATIO, LEAST = 4, 3
+ROUTES = ("spans", "lost", "vocabulary")
+WORDS_PER_TASK = 2_000
 
 
 def _table(codec: str) -> dict[str, int]:
@@ -245,8 +249,9 @@ def _fill(word: str) -> list[str]:
     return found
 
 
-def analyse(word: str) -> tuple[bool, str, bool, list[str]]:
-    """(surely garbled, restored, restorable, other readings to look up)."""
+def analyse(word: str) -> tuple[str | None, str, bool, list[str]]:
+    """(route of structural evidence, restored, restorable, other readings to
+    look up); spans come first."""
     text = word
     for _ in range(3):
         following = _structure(text)
@@ -256,8 +261,8 @@ def analyse(word: str) -> tuple[bool, str, bool, list[str]]:
     lost = "�" in word or any(0x80 <= ord(c) < 0xA0 for c in text) or len(_LOST.findall(text)) > 1
     if text != word or lost or any(0x80 <= ord(c) < 0xA0 for c in word):
         # the bytes may still be of another encoding than the spans suggest
-        return True, text, not lost, [] if "�" in word else _read_again(word)
-    return False, word, True, _read_again(word) + _fill(word)
+        return "spans" if text != word else "lost", text, not lost, [] if "�" in word else _read_again(word)
+    return None, word, True, _read_again(word) + _fill(word)
 
 
 WORDS = r"[ \t\r\n]+"
@@ -271,7 +276,10 @@ def values_of(fas_resources: DataFrame, fas_bytes: DataFrame) -> DataFrame:
 
 
 def garbled_words(words: DataFrame) -> DataFrame:
-    """``(w, restored, restorable)`` of the garbled ones among ``words(w, n)``."""
+    """``(w, restored, restorable, route)`` of the garbled ones among
+    ``words(w, n)``, which are spread over tasks by their number."""
+    tasks = max(-(-words.count() // WORDS_PER_TASK), 1)
+    words = words.repartition(tasks, "w")
 
     def count_units(it):
         for pdf in it:
@@ -282,9 +290,9 @@ def garbled_words(words: DataFrame) -> DataFrame:
         for pdf in it:
             rows = []
             for w in pdf["w"]:
-                sure, restored, restorable, readings = analyse(w)
-                if sure:
-                    rows.append((w, "sure", restored, restorable, None))
+                route, restored, restorable, readings = analyse(w)
+                if route:
+                    rows.append((w, route, restored, restorable, None))
                 if readings:
                     rows.extend((w, "own", w, True, u) for u in units(w))
                 for r in readings:
@@ -293,32 +301,33 @@ def garbled_words(words: DataFrame) -> DataFrame:
 
     counts = words.mapInPandas(count_units, "u string, n bigint").groupBy("u").agg(F.sum("n").alias("n"))
     looked = staged(words.mapInPandas(look, "w string, kind string, r string, ok boolean, u string"))
-    rated = looked.where("kind <> 'sure'").join(counts, "u", "left").groupBy("w", "kind", "r").agg(F.min(F.coalesce("n", F.lit(0))).alias("n"))
+    rated = looked.where("kind in ('own', 'other')").join(counts, "u", "left").groupBy("w", "kind", "r").agg(F.min(F.coalesce("n", F.lit(0))).alias("n"))
     best = rated.groupBy("w").agg(
         F.max(F.when(F.col("kind") == "own", F.col("n"))).alias("own"),
         F.max_by("r", F.when(F.col("kind") == "other", F.struct("n", "r"))).alias("r"),
         F.max(F.when(F.col("kind") == "other", F.col("n"))).alias("n"),
     )
     read = best.where((F.col("n") >= LEAST) & (F.col("n") >= RATIO * F.coalesce("own", F.lit(0)))).select("w", F.col("r").alias("reading"))
-    sure = looked.where("kind = 'sure'").select("w", F.col("r").alias("decoded"), "ok")
+    sure = looked.where("kind not in ('own', 'other')").select("w", F.col("r").alias("decoded"), "ok", F.col("kind").alias("route"))
     return sure.join(read, "w", "full").select(
-        "w", F.coalesce("reading", "decoded").alias("restored"), (F.col("reading").isNotNull() | F.coalesce("ok", F.lit(False))).alias("restorable")
+        "w", F.coalesce("reading", "decoded").alias("restored"), (F.col("reading").isNotNull() | F.coalesce("ok", F.lit(False))).alias("restorable"),
+        F.coalesce("route", F.lit("vocabulary")).alias("route"),
     )
 
 
 def restored(fas_resources: DataFrame, fas_bytes: DataFrame) -> DataFrame:
-    """(origin, sample_id, idx, value, restored, restorable) of the values
-    that are garbled in whole or in part."""
+    """(origin, sample_id, idx, value, restored, restorable, route) of the
+    values that are garbled in whole or in part."""
     values = staged(values_of(fas_resources, fas_bytes))
     each = values.select("origin", "sample_id", "idx", "value", F.explode(F.array_distinct(F.split("value", WORDS))).alias("w"))
     each = each.where(F.col("w").rlike(r"[^\x00-\x7F]"))
     words = staged(each.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
-    hits = each.join(garbled_words(words), "w")
+    hits = join_unique(each, garbled_words(words), "w", "inner", hot_keys(each, "w"))
     per_value = hits.groupBy("origin", "sample_id", "idx", "value").agg(
-        F.sort_array(F.collect_list(F.struct(F.length("w").alias("len"), "w", "restored")), False).alias("swap"), F.bool_and("restorable").alias("restorable")
+        F.sort_array(F.collect_list(F.struct(F.length("w").alias("len"), "w", "restored")), False).alias("swap"), F.bool_and("restorable").alias("restorable"), F.min(F.struct(F.array_position(F.array(*map(F.lit, ROUTES)), F.col("route")).alias("k"), "route")).alias("by")
     )
     text = F.aggregate("swap", F.col("value"), lambda t, s: F.replace(t, s["w"], s["restored"]))
-    return per_value.select("origin", "sample_id", "idx", "value", text.alias("restored"), "restorable")
+    return per_value.select("origin", "sample_id", "idx", "value", text.alias("restored"), "restorable", "by.route")
 
 
 def found(fas_resources: DataFrame, fas_bytes: DataFrame) -> DataFrame:
