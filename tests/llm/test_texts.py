@@ -43,8 +43,8 @@ def test_garbled_values_are_found_and_restored(spark):
 
 def test_text_garbled_twice_and_in_part():
     twice = garble(garble("Höhe", "utf-8", "cp1252"), "utf-8", "cp1252")
-    assert B.analyse(twice)[:3] == (True, "Höhe", True)
-    assert B.analyse("Lüftung")[0] is False
+    assert B.analyse(twice)[:3] == ("spans", "Höhe", True)
+    assert B.analyse("Lüftung")[0] is None
     assert B.decode_spans("xÃ¼y", "cp1252")[0] == "xüy"
 
 
@@ -58,6 +58,13 @@ def test_words_of_lost_continuations_only(spark):
     assert got == {12: known[0]}
 
 
+def test_routes_and_hot_words(spark, monkeypatch):
+    """A word that most values hold is found in all of them; spans come first."""
+    values = ["HÃ¶he Ã?nÄ?"] * 300 + ["g�sty", "Größe", "HÃ¶he g�sty"] + ["Höhe"] * 20
+    got = {r.idx: r.route for r in B.restored(*tables(spark, values)).where("origin = 'resource'").collect()}
+    assert got == {**dict.fromkeys(range(300), "spans"), 300: "lost", 302: "spans"}
+
+
 def test_the_automaton():
     assert B.utf8_spans("aé漢".encode()) == [(1, 6)]
     assert B.utf8_spans(b"\xc0\x80\xed\xa0\x80\xf5\x80\xe9") == []
@@ -109,6 +116,18 @@ def test_truncation_on_held_out_texts(spark):
     assert set(rates) == {"a", "b", "(none)"} and rates["a"].rate > rates["(none)"].rate
 
 
+def test_limits_of_every_source_are_known(spark):
+    """A length at which most texts of a source end is a hot key, and no
+    source is left out, however many there are."""
+    rows, cut = documents()
+    rows += [(10_000 + i, f"s{i % 40}", " ".join([SENTENCES[i % 5]] * 9)[: 150 + i % 40]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id for r in T.found(df).collect()}
+    assert len(got & cut) / len(cut) > 0.85
+    late = {i for i, _, t in rows if i >= 10_000 and t.rstrip()[-1] not in ".?!"}
+    assert len(got & late) / len(late) > 0.9
+
+
 def test_truncation_of_nothing(spark):
     s = "doc_id long, source string, text string"
     assert T.found(spark.createDataFrame([], s)).count() == 0

@@ -25,7 +25,7 @@ import re
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.llm.source_syntax import judge
@@ -37,7 +37,6 @@ THRESHOLD = 0.5
 DOUBT = 0.2
 SPIKE = 8.0
 MIN_DOCUMENTS = 4
-MAX_SOURCES = 10_000
 RESERVED = 256  # slots of the corpus statistics, at the end of the table
 
 # fixed values: marks that are put behind a cut
@@ -242,14 +241,16 @@ def _fitted(x: list[np.ndarray], y: np.ndarray, ids: np.ndarray, folds: int = 3)
 _READ = "id bigint, source string, len int, whole bigint, tail bigint, ended boolean, slots array<int>, label int"
 
 
-def _reader(limits: dict[str, list[int]] | None, tails: list[str]):
-    """Documents to feature rows; with ``limits``, examples of documents."""
+def _reader(tails: list[str] | None = None):
+    """Documents to feature rows; with ``tails``, examples of documents whose
+    source has the lengths ``limits``."""
 
     def read(it):
         for pdf in it:
             out = []
-            for i, source, text in zip(pdf["id"], pdf["source"], pdf["text"]):
-                each = [(None, text, len(text))] if limits is None else variants(i, text, limits.get(source or "", []), tails)
+            given = [None] * len(pdf) if tails is None else pdf["limits"]
+            for i, source, text, limits in zip(pdf["id"], pdf["source"], pdf["text"], given):
+                each = [(None, text, len(text))] if tails is None else variants(i, text, [] if limits is None else [int(x) for x in limits], tails)
                 for label, t, n in each:
                     s = t.rstrip()
                     if not s:
@@ -264,9 +265,14 @@ def _reader(limits: dict[str, list[int]] | None, tails: list[str]):
     return read
 
 
-def _with_statistics(rows: DataFrame, tails: DataFrame, lengths: DataFrame, hot: list) -> DataFrame:
-    joined = join_unique(rows, tails, "tail", "left", hot)
-    return joined.join(lengths, ["source", "len"], "left").fillna({"n_tail": 1, "spike": 1.0})
+def _length_key() -> Column:
+    return F.concat_ws(":", F.col("len").cast("string"), "source").alias("length_key")
+
+
+def _with_statistics(rows: DataFrame, tails: DataFrame, lengths: DataFrame, hot: list, hot_lengths: list) -> DataFrame:
+    """A common last line, and a length limit of a large source, are hot keys."""
+    joined = join_unique(rows, tails, "tail", "left", hot).withColumn("length_key", _length_key())
+    return join_unique(joined, lengths, "length_key", "left", hot_lengths).fillna({"n_tail": 1, "spike": 1.0})
 
 
 def scores(documents: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -274,7 +280,7 @@ def scores(documents: DataFrame, doc_id: str = "doc_id", source: str = "source",
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"))
     docs = docs.where(F.col("text").rlike(r"\S"))
-    read = staged(docs.mapInPandas(_reader(None, []), _READ))
+    read = staged(docs.mapInPandas(_reader(), _READ))
 
     # copies of a text bring their last line along, so texts are counted once
     counts = staged(read.groupBy("tail", "whole").count().groupBy("tail").agg(F.count(F.lit(1)).alias("n_tail")))
@@ -285,19 +291,19 @@ def scores(documents: DataFrame, doc_id: str = "doc_id", source: str = "source",
     spike = F.col("n") / F.greatest((F.col("band_n") - F.col("n")) / 63, F.lit(0.5))
     lengths = staged(near.select("source", "len", "n", spike.alias("spike")))
 
-    limits: dict[str, list[int]] = {}
+    # of each source the lengths at which very many texts end
     out = lengths.where((F.col("spike") >= SPIKE) & (F.col("n") >= 5))
-    for r in out.groupBy("source").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "len")), False), 1, 3).alias("top")).limit(MAX_SOURCES).collect():
-        limits[r.source] = [x.len for x in r.top]
+    limits = out.groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "len")), False), lambda x: x["len"]).alias("limits"))
     # different texts below a hash threshold: about ``sample`` of them
     share = min(1.0, sample / max(read.count(), 1))
     h = F.xxhash64("text")
     chosen = docs.select(h.alias("id"), "source", "text").where(F.shiftrightunsigned(h, 11) < int(share * 2**53)).dropDuplicates(["id"])
     common = _common_tails(chosen)
 
-    examples = staged(chosen.mapInPandas(_reader(limits, common), _READ))
-    hot = hot_keys(read, "tail")
-    rows = _with_statistics(examples, counts, lengths.drop("n"), hot).select("id", "slots", "ended", "n_tail", "spike", "label").toPandas()
+    examples = staged(chosen.join(limits, "source", "left").mapInPandas(_reader(common), _READ))
+    hot, hot_lengths = hot_keys(read, "tail"), hot_keys(read, _length_key())
+    spikes = lengths.select(_length_key(), "spike")
+    rows = _with_statistics(examples, counts, spikes, hot, hot_lengths).select("id", "slots", "ended", "n_tail", "spike", "label").toPandas()
     x = [np.array(sorted({*s, *_statistics_slots(n, e, z)}), np.int64) for s, e, n, z in zip(rows["slots"], rows["ended"], rows["n_tail"], rows["spike"])]
     w = _fitted(x, rows["label"].to_numpy(dtype=np.float64), rows["id"].to_numpy())
     model = spark.sparkContext.broadcast(w.astype(np.float32))
@@ -307,7 +313,7 @@ def scores(documents: DataFrame, doc_id: str = "doc_id", source: str = "source",
             x = [np.array(sorted({*s, *_statistics_slots(n, e, z)}), np.int64) for s, e, n, z in zip(pdf["slots"], pdf["ended"], pdf["n_tail"], pdf["spike"])]
             yield pd.DataFrame({"doc_id": pdf["id"], "source": pdf["source"], "score": _score(x, model.value.astype(np.float64))})
 
-    full = _with_statistics(read, counts, lengths.drop("n"), hot).select("id", "source", "slots", "ended", "n_tail", "spike")
+    full = _with_statistics(read, counts, spikes, hot, hot_lengths).select("id", "source", "slots", "ended", "n_tail", "spike")
     return full.mapInPandas(rate, "doc_id bigint, source string, score double")
 
 
