@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from triagelake.session import staged
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the published pre-tokenisation pattern of this vocabulary
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -160,7 +162,8 @@ def encode(df: DataFrame, text: str = "text", keep: list[str] | None = None, out
     one_unit = F.coalesce(F.length("_text") <= leaf, F.lit(True))
     short = source.where(one_unit).mapInArrow(short_ids, T.StructType(kept.fields + [ids_field]))
 
-    cut_rows = source.where(~one_unit).mapInArrow(split_long, pieces_type)
+    # the few long texts are cut once; both uses of the parts read them
+    cut_rows = staged(source.where(~one_unit).mapInArrow(split_long, pieces_type))
     leaves = cut_rows.select(
         *[F.col(f"`{c}`") for c in keep], "_row", F.size("_parts").alias("_n"), F.posexplode("_parts").alias("_seq", "_p")
     ).select(*[F.col(f"`{c}`") for c in keep], "_row", "_n", "_seq", "_p.k", "_p.t")
