@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from triagelake.llm import annotators as A
@@ -98,3 +99,18 @@ def test_family_words_and_misnamed_records(spark):
     stats = [(1, "ab", " GoodName "), (2, "AB", "badname"), (3, "cd", "badname"), (4, None, "x"), (5, "ab", None)]
     df = spark.createDataFrame(labels, S)
     assert [r.stat_id for r in A.misnamed(df, spark.createDataFrame(stats, "stat_id long, sha256 string, family string")).collect()] == [2]
+
+
+def test_short_words_and_other_scripts(spark):
+    names = ["Trojan.Gen", "Worm.Zed", "Virus/木马", "ALS.Bursted.b", "Trojan.ab", "Троян.Дятел"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(A.family_of(F.col("n"))).collect()]
+    assert got == [None, "zed", "木马", "bursted", None, "троян"]
+
+
+def test_rounds_that_do_not_settle_say_so(spark):
+    rows = [(f"i{i}", f"a{k}", "x" if (i * k) % 5 else "y", 0) for i in range(30) for k in range(5)]
+    df = spark.createDataFrame(rows, "item string, who string, label string, t int")
+    args = (df, F.col("item"), F.col("who"), F.col("label"), F.col("t"))
+    with pytest.warns(UserWarning, match="still move"):
+        assert not A.consensus(*args, max_rounds=1).settled
+    assert A.consensus(*args).settled

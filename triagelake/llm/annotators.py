@@ -16,13 +16,14 @@ read the gathered votes with numpy and return two numbers per annotator.
 
 Defined results: null items, annotators and labels take no part; several
 ratings of an item by one annotator count once, with the latest.  Items with
-one rating get that label, with agreement null.  Ties go to the label that
+one rating get that label, with agreement null.  Rounds that do not settle
+within ``max_rounds`` give the last state, a warning and ``settled`` false.  Ties go to the label that
 comes first in the alphabet.  Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,6 +46,8 @@ GENERIC_WORDS = (
     "spyware", "susgen", "suspicious", "threat", "tool", "trojan", "unknown", "unsafe", "unwanted", "variant",
     "virus", "worm",
 )
+# fixed values: the same among words of three letters
+GENERIC_SHORT_WORDS = ("als", "fas", "gen", "lsp", "mal", "pua", "pup", "sus", "trj", "vba", "vbs", "vlx", "win")
 
 
 def key(c: Column) -> Column:
@@ -54,10 +57,14 @@ def key(c: Column) -> Column:
 
 
 def family_of(result: Column) -> Column:
-    """The family word of a raw detection name, null for generic names."""
-    words = F.regexp_extract_all(F.lower(result), F.lit("([a-z]+)"), F.lit(1))
+    """The family word of a raw detection name, null for generic names: the
+    first word of four letters (of any script) or more that tells a family,
+    where there is none the first of three letters (two in scripts other than
+    Latin)."""
+    words = F.regexp_extract_all(F.lower(result), F.lit(r"(\p{L}+)"), F.lit(1))
     named = F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(*GENERIC_WORDS))
-    return F.try_element_at(named, F.lit(1))
+    short = F.filter(words, lambda w: F.when(w.rlike("^[a-z]+$"), F.length(w) == 3).otherwise(F.length(w).between(2, 3)) & ~w.isin(*GENERIC_SHORT_WORDS))
+    return F.coalesce(F.try_element_at(named, F.lit(1)), F.try_element_at(short, F.lit(1)))
 
 
 @dataclass
@@ -66,6 +73,7 @@ class Consensus:
     annotators: DataFrame  # annotator, votes, reliability, weight
     result: DataFrame  # item, label, voters, support, agreement
     rounds: int
+    settled: bool  # False where the last round still moved an accuracy
 
 
 def gather(ratings: DataFrame, item: Column, annotator: Column, label: Column, order: Column) -> tuple[DataFrame, list[str]]:
@@ -151,14 +159,17 @@ def consensus(
     items, names = gather(ratings, item, annotator, label, order)
     spark = items.sparkSession
     accuracy, w, votes = np.full(len(names), 0.5), np.ones(len(names)), np.zeros(len(names))
-    rounds = 0
+    rounds, settled = 0, not names
     for rounds in range(1, max_rounds + 1):
         hits, votes = _round(items, w, min_voters)
         now = (hits + smoothing / 2) / (votes + smoothing)
         moved = float(np.abs(now - accuracy).max(initial=0.0))
         accuracy, w = now, weights(now)
-        if moved < TOLERANCE:
+        settled = moved < TOLERANCE
+        if settled:
             break
+    if not settled:
+        warnings.warn(f"reliabilities still move by {moved:.2g} after {rounds} rounds", stacklevel=2)
 
     def decide(it):
         for pdf in it:
@@ -185,7 +196,7 @@ def consensus(
         [(n, int(v), float(a), float(x)) for n, v, a, x in zip(names, votes, accuracy, w)],
         "annotator string, judged_votes bigint, reliability double, weight double",
     )
-    return Consensus(items, who, result, rounds)
+    return Consensus(items, who, result, rounds, settled)
 
 
 def alpha(items: DataFrame) -> DataFrame:
