@@ -63,6 +63,14 @@ def test_days_combine_within_the_bound(spark):
         assert off <= r.rank_error + 1 / len(v)
 
 
+def test_rows_without_a_key_are_no_repeats(spark):
+    rows = [(None if i % 2 else (1 << 60) + i // 4, i, i, "lsp", float(i + 1), 1.0, 1.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "eval_id long, ing long, ts long, input_type string, total_ms double, parse_ms double, ir_ms double")
+    df = df.selectExpr("eval_id", "timestamp_seconds(ing) as ingest_ts", "timestamp_seconds(ts) as eval_ts", "input_type", "total_ms", "parse_ms", "ir_ms").repartition(3)
+    got = {(r.metric, r.q): r.n for r in P.percentiles(P.eval_runs(df), quantiles=(0.5,)).collect()}
+    assert got[("total_ms", 0.5)] == 300
+
+
 def test_thin_keeps_the_weight():
     v, w = np.sort(np.random.default_rng(1).random(1000)), np.ones(1000, np.int64)
     tv, tw = P.thin(v, w, 10)
@@ -137,6 +145,17 @@ def test_splits_keep_groups_and_shares(spark):
     assert sum(r.records for r in report if r.label == "(all)") == 3000
 
 
+def test_driver_rows_are_bounded_with_many_labels(spark):
+    rows = [(i, f"f{i // 3}", None, f"l{i % 90}") for i in range(900)]
+    df = spark.createDataFrame(rows, "stat_id long, family string, sha256 string, label string")
+    t = spark.createDataFrame([("train", 0.8), ("test", 0.2)], "split string, target_share double")
+    got = S.stat_splits(df, t).collect()
+    assert len(got) == 900 and len({(r.group_id, r.split) for r in got}) == 300
+    more = df.withColumn("label", F.concat("label", F.col("stat_id").cast("string")))
+    with pytest.raises(ValueError):
+        S.stat_splits(more, t)
+
+
 def test_splits_of_nothing(spark):
     targets = spark.createDataFrame([("a", 1.0), ("b", None)], "split string, target_share double")
     assert S.stat_splits(spark.createDataFrame([], STAT), targets).count() == 0
@@ -194,6 +213,14 @@ def test_mixture_reaches_its_shares(spark):
     assert abs(sum(next(x.n_tokens for x in drawn if x.doc_id == d) * n for d, n in half.items()) - total / 2) < 100
 
 
+def test_buckets_shrink_with_the_number_of_sources(spark, monkeypatch):
+    monkeypatch.setattr(M, "DRIVER_ROWS", 64)
+    counts = spark.range(4000).selectExpr("id as doc_id", "concat('s', id % 20) as source", "cast(id % 7 + 1 as int) as n_tokens", "shiftrightunsigned(xxhash64(id), 4) as h")
+    targets = spark.createDataFrame([(f"s{k}", 1.0 + k % 3, 1) for k in range(20)], "source string, target_share double, max_repeats int")
+    for r in M.report(counts, M.plan(counts, targets)).collect():
+        assert abs(r.actual_share - r.scaled_share) < 2e-3
+
+
 def test_mixture_of_nothing(spark):
     t = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     counts = M.staged_counts(spark.createDataFrame([], "doc_id long, source string, text string"))

@@ -10,9 +10,10 @@ are linked where a key of the other kind holds both, so a hot key is one node
 and never a star of all its records.
 
 Placement is sequential, so it runs on units of bounded number: components
-holding at least ``1 / HEAVY`` of the records one by one (at most ``HEAVY``),
+holding at least ``1 / heavy`` of the records one by one (at most ``heavy``),
 the others gathered by rarest label and hash bucket (at most
-``labels * BUCKETS``).  The driver only holds these bounded sums.
+``labels * buckets``).  Both are such that the driver holds at most
+``DRIVER_ROWS`` sums, whatever the number of labels (``MAX_LABELS`` at most).
 
 Defined results: null and blank keys join nothing; a record without keys is a
 component of its own; null labels are a label of their own; tables that are
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 from triagelake.operators.components import components
 from triagelake.session import hot_keys, join_unique, staged
 
-HEAVY = 2_000
-BUCKETS = 512
-MAX_LABELS = 1_000
+# rows (unit, label) that the driver holds, most of one component and of a label
+DRIVER_ROWS = 100_000
+HEAVY, BUCKETS, MAX_LABELS = 2_000, 512, 100
 
 
 def key(c: Column) -> Column:
@@ -39,10 +40,11 @@ def key(c: Column) -> Column:
     return F.when(k != "", k)
 
 
-def groups(df: DataFrame, row_id: str, coarse: Column, fine: Column) -> DataFrame:
-    """``(id, group_id, group_rows)`` of every row: the least id of the rows
-    it is connected with through equal ``coarse`` or ``fine`` keys."""
-    rows = staged(df.select(F.col(row_id).alias("id"), key(coarse).alias("c"), key(fine).alias("f")))
+def groups(df: DataFrame, row_id: str, coarse: Column, fine: Column, *keep: str) -> DataFrame:
+    """``(id, group_id, group_rows)`` of every row, with the columns ``keep``:
+    the least id of the rows it is connected with through equal ``coarse`` or
+    ``fine`` keys."""
+    rows = staged(df.select(F.col(row_id).alias("id"), key(coarse).alias("c"), key(fine).alias("f"), *keep))
     hot_c, hot_f = hot_keys(rows, "c"), hot_keys(rows, "f")
     # one row per pair of keys, so copies and hot keys shrink before any join
     cells = staged(rows.groupBy("c", "f").agg(F.min("id").alias("id")))
@@ -60,9 +62,9 @@ def groups(df: DataFrame, row_id: str, coarse: Column, fine: Column) -> DataFram
     )
     marked = join_unique(rows, coarse_root, "c", "left", hot_c)
     marked = join_unique(marked, fine_root, "f", "left", hot_f)
-    marked = staged(marked.select("id", F.coalesce("c_root", "f_root", "id").alias("root")))
+    marked = staged(marked.select("id", F.coalesce("c_root", "f_root", "id").alias("root"), *keep))
     sums = marked.groupBy("root").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("group_rows"))
-    return join_unique(marked, sums, "root", "inner", hot_keys(marked, "root")).select("id", "group_id", "group_rows")
+    return join_unique(marked, sums, "root", "inner", hot_keys(marked, "root")).select("id", "group_id", "group_rows", *keep)
 
 
 def stratify(units: list[tuple], shares: dict[str, float]) -> dict:
@@ -109,15 +111,18 @@ def assign(members: DataFrame, targets: dict[str, float]) -> DataFrame:
     vectors = members.groupBy("group_id", "label").agg(F.count(F.lit(1)).alias("n"), F.first("group_rows").alias("group_rows"))
     order = spark.createDataFrame(list(rank.items()) or [("", 0)], "label string, rank int")
     vectors = vectors.join(F.broadcast(order), "label")
-    heavy = F.col("group_rows") * HEAVY >= rows
+    n = max(len(totals), 1)
+    most_heavy = max(min(HEAVY, DRIVER_ROWS // (2 * n)), 1)
+    buckets = max(min(BUCKETS, DRIVER_ROWS // (2 * n * n)), 1)
+    heavy = F.col("group_rows") * most_heavy >= rows
     rarest = vectors.groupBy("group_id").agg(F.min("rank").alias("rarest"), F.first("group_rows").alias("group_rows"))
     unit = F.when(heavy, F.concat(F.lit("g"), F.col("group_id").cast("string"))).otherwise(
-        F.concat_ws("-", F.lit("b"), F.col("rarest").cast("string"), F.pmod(F.xxhash64("group_id"), F.lit(BUCKETS)).cast("string"))
+        F.concat_ws("-", F.lit("b"), F.col("rarest").cast("string"), F.pmod(F.xxhash64("group_id"), F.lit(buckets)).cast("string"))
     )
     units_of = staged(rarest.select("group_id", unit.alias("unit")))
     sums = vectors.select("group_id", "label", "n").join(units_of, "group_id").groupBy("unit", "label").agg(F.sum("n").alias("n"))
     units: dict[str, dict] = {}
-    for r in sums.collect():  # at most (HEAVY + labels * BUCKETS) * labels rows
+    for r in sums.collect():  # at most (most_heavy + labels * buckets) * labels rows
         units.setdefault(r.unit, {})[r.label] = int(r.n)
     placed = stratify(sorted(units.items()), shares)
     where = spark.createDataFrame(list(placed.items()) or [("", "")], "unit string, split string")
@@ -127,8 +132,8 @@ def assign(members: DataFrame, targets: dict[str, float]) -> DataFrame:
     )
 
 
-def stat_groups(sample_stat: DataFrame) -> DataFrame:
-    return groups(sample_stat, "stat_id", F.col("family"), F.col("sha256"))
+def stat_groups(sample_stat: DataFrame, *keep: str) -> DataFrame:
+    return groups(sample_stat, "stat_id", F.col("family"), F.col("sha256"), *keep)
 
 
 def found(sample_stat: DataFrame) -> DataFrame:
@@ -137,8 +142,7 @@ def found(sample_stat: DataFrame) -> DataFrame:
 
 def stat_splits(sample_stat: DataFrame, split_targets: DataFrame) -> DataFrame:
     targets = {r[0]: r[1] for r in split_targets.select("split", "target_share").limit(1_000).collect()}
-    members = stat_groups(sample_stat).join(sample_stat.select(F.col("stat_id").alias("id"), "label"), "id")
-    return assign(members, targets).select(F.col("id").alias("stat_id"), "group_id", "split", "label")
+    return assign(stat_groups(sample_stat, "label"), targets).select(F.col("id").alias("stat_id"), "group_id", "split", "label")
 
 
 def split_report(splits: DataFrame, split_targets: DataFrame) -> DataFrame:

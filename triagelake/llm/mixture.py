@@ -29,7 +29,9 @@ from triagelake.llm.tokenise import VOCABULARY, encode
 from triagelake.session import staged
 
 BITS = 60
+# leading bits counted at once, fewer with many sources: so many buckets in all
 STEP = 10
+DRIVER_ROWS = 100_000
 MAX_SOURCES = 10_000
 SCHEMA = "source string, target_share double, scaled_share double, max_repeats int, available_tokens bigint, budget double, full_repeats int, threshold bigint"
 
@@ -72,19 +74,19 @@ def plan(counts: DataFrame, targets: DataFrame, total: float | None = None) -> l
     prefix = {s: 0 for s in names if left[s] > 0 and full[s] < want[s][1]}
     threshold = {s: 0 for s in names}
     spark = counts.sparkSession
-    for level in range(BITS // STEP):
-        if not prefix:
-            break
-        low = BITS - STEP * (level + 1)
+    high = BITS
+    while prefix and high:
+        step = max(min(STEP, (DRIVER_ROWS // len(prefix)).bit_length() - 1, high), 1)
+        low = high - step
         edge = spark.createDataFrame(list(prefix.items()), "source string, prefix bigint")
-        inside = counts.join(F.broadcast(edge), "source").where(F.shiftright("h", low + STEP) == F.col("prefix"))
+        inside = counts.join(F.broadcast(edge), "source").where(F.shiftright("h", high) == F.col("prefix"))
         hist = inside.groupBy("source", F.shiftright("h", low).alias("bucket")).agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs"))
         by: dict[str, list] = {}
-        for r in hist.collect():  # at most 2**STEP rows a source
+        for r in hist.collect():  # at most 2**step rows a source
             by.setdefault(r.source, []).append((r.bucket, int(r.n), int(r.docs)))
         following = {}
         for s in prefix:
-            threshold[s] = (prefix[s] + 1) << (low + STEP)
+            threshold[s] = (prefix[s] + 1) << high
             for bucket, n, docs in sorted(by.get(s, ())):
                 if n <= left[s]:
                     left[s] -= n
@@ -96,7 +98,7 @@ def plan(counts: DataFrame, targets: DataFrame, total: float | None = None) -> l
                 else:
                     following[s] = bucket
                 break
-        prefix = following
+        prefix, high = following, low
     return [(s, want[s][0], scaled.get(s, 0.0), want[s][1], size.get(s, 0), budget[s], full[s], threshold[s]) for s in names]
 
 

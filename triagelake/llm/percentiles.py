@@ -30,6 +30,7 @@ from triagelake.session import staged
 
 QUANTILES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999)
 POINTS = 512
+FINER, SLOTS = 4, 16
 RUN = 1_000_000
 RUN_TYPE = "day date, grp string, metric string, n bigint, vals binary, wts binary"
 MAX_TARGETS = 100_000
@@ -62,17 +63,21 @@ def runs(df: DataFrame, key: str, order: str, ts: str, group: Column, metrics: l
     """Sorted runs of the valid values per group and metric (and day).
 
     Rows of the same key meet in one task, the earliest delivery first; the
-    groups, however large, stay spread over all tasks.
+    groups, however large, stay spread over all tasks.  Rows without a key
+    are no repeats of each other and are spread as well.
     """
     day = F.to_date(F.col(ts)) if by_day else F.lit(None).cast("date")
     rows = df.select(F.col(key).alias("k"), F.col(order).alias("o"), day.alias("day"), group.alias("grp"), *[F.col(m).cast("double").alias(m) for m in metrics])
-    rows = rows.repartition("k").sortWithinPartitions("k", "o")
+    none, k = F.col("k").isNull(), F.coalesce("k", F.lit("0").cast(dict(rows.dtypes)["k"]))
+    spread = F.when(none, F.xxhash64("o", "grp", *metrics)).otherwise(F.xxhash64("k"))
+    rows = rows.select(k.alias("k"), "o", "day", "grp", *metrics, none.alias("none"), spread.alias("s"))
+    rows = rows.repartition("s").drop("s").sortWithinPartitions("none", "k", "o")
 
     def build(it):
         last, held, size = None, {}, 0
         for pdf in it:
             k = pdf["k"].to_numpy()
-            fresh = np.r_[last is None or k[0] != last, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
+            fresh = np.r_[last is None or k[0] != last, k[1:] != k[:-1]] | pdf["none"].to_numpy(bool) if len(k) else np.zeros(0, bool)
             if len(k):
                 last = k[-1]
             pdf = pdf[fresh & pdf["grp"].notna().to_numpy()]
@@ -94,9 +99,10 @@ def runs(df: DataFrame, key: str, order: str, ts: str, group: Column, metrics: l
 
 def merged(partials: DataFrame, points: int = POINTS) -> DataFrame:
     """Partial results of the same day, group and metric put together: one
-    row each, of at most ``points`` values."""
+    row each, of at most ``points`` values.  They meet in slots first, so no
+    task gets those of all others; a slot keeps ``FINER`` times the points."""
 
-    def put(pdf):
+    def put(pdf, points):
         v = np.concatenate([np.frombuffer(b, np.float64) for b in pdf["vals"]])
         w = np.concatenate([np.frombuffer(b, np.int64) for b in pdf["wts"]])
         o = np.argsort(v, kind="stable")
@@ -104,7 +110,9 @@ def merged(partials: DataFrame, points: int = POINTS) -> DataFrame:
         first = pdf.iloc[0]
         return pd.DataFrame([(first["day"], first["grp"], first["metric"], int(w.sum()), v.tobytes(), w.tobytes())], columns=["day", "grp", "metric", "n", "vals", "wts"])
 
-    return partials.groupBy("day", "grp", "metric").applyInPandas(put, RUN_TYPE)
+    slots = partials.withColumn("slot", F.pmod(F.xxhash64("vals"), F.lit(SLOTS)))
+    some = slots.groupBy("day", "grp", "metric", "slot").applyInPandas(lambda pdf: put(pdf, FINER * points), RUN_TYPE)
+    return some.groupBy("day", "grp", "metric").applyInPandas(lambda pdf: put(pdf, points), RUN_TYPE)
 
 
 def _cut(vals: bytes, wts, lo: float, hi: float):
@@ -239,10 +247,11 @@ def eval_runs(evals: DataFrame, by_day: bool = False, limit: int = 0) -> DataFra
 
 def day_partials(evals: DataFrame, points: int = POINTS) -> DataFrame:
     """One mergeable partial result per day, input type and metric."""
-    return merged(eval_runs(evals, by_day=True, limit=points), points)
+    return merged(eval_runs(evals, by_day=True, limit=FINER * points), points)
 
 
 def from_partials(partials: DataFrame, points: int = POINTS, quantiles=QUANTILES, names=("grp", "metric")) -> DataFrame:
     """Percentiles over all partial results, with the bound of their rank
-    error as a share of ``n``: half a stretch for each of two thinnings."""
+    error as a share of ``n``: half a stretch for the last thinning, and an
+    eighth for each of the two before it, which is less than one stretch."""
     return percentiles(partials, quantiles, names).withColumn("rank_error", F.lit(1.0 / points))

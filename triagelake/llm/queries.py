@@ -53,6 +53,10 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_overlap.report(table(spark, sf_dir, "baseline_sample"))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlap.classes(*split_overlap.split_overlap(table(spark, sf_dir, "baseline_sample")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_syntax.found(table(spark, sf_dir, "samples"))
 
@@ -103,6 +107,11 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.encode(table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
+def p8_halved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ids with leaves so small that many words are halved and joined."""
+    return tokenise.encode(table(spark, sf_dir, "documents"), "text", ["doc_id"], leaf=8, piece=64)
+
+
 def _mixture(spark: SparkSession, sf_dir: str):
     counts = mixture.staged_counts(table(spark, sf_dir, "documents"))
     return counts, mixture.plan(counts, table(spark, sf_dir, "mix_targets"))
@@ -138,6 +147,7 @@ def queries() -> dict[str, Query]:
         "p2_classes": p2_classes,
         "p3_found": p3_found,
         "p3_report": p3_report,
+        "p3_classes": p3_classes,
         "p4_found": p4_found,
         "p4_files": p4_files,
         "p4_rates": p4_rates,
@@ -150,6 +160,7 @@ def queries() -> dict[str, Query]:
         "p7_found": p7_found,
         "p7_restored": p7_restored,
         "p8_ids": p8_ids,
+        "p8_halved": p8_halved,
         "p9_mix": p9_mix,
         "p9_shares": p9_shares,
         "p10_found": p10_found,
