@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -99,14 +100,31 @@ def edges(spark, *pairs):
 
 def test_two_functions_on_a_cycle(spark):
     e = edges(spark, ("a", "b"), ("b", "a"), ("c", "a"), ("d", "d"))
-    r = G.closure(e)
-    comp = {x.fn: x.component for x in G.strong_components(r).collect()}
+    comp = {x.fn: x.component for x in G.strong_components(e).collect()}
     assert comp == {"a": "a", "b": "a"}
-    m = G.component_metrics(G.strong_components(r), e).first()
+    m = G.component_metrics(G.strong_components(e), e).first()
     assert m["size"] == 2 and m.strength == 1.0 and m.entries == ["a"]
     assert {(x.caller, x.callee) for x in G.back_edges(e).collect()} == {("b", "a"), ("d", "d")}
 
 
+def test_walked_and_coloured_cycles_agree_with_the_closure(spark):
+    import random
+
+    rng = random.Random(4)
+    pairs = [(g, f"f{rng.randrange(14)}", f"f{rng.randrange(14)}") for g in "pq" for _ in range(20)] + [("r", f"c{i}", f"c{(i + 1) % 9}") for i in range(9)]
+    e = spark.createDataFrame(pairs, "sample_id string, caller string, callee string").coalesce(1)
+    reach = {(r.sample_id, r.src, r.dst) for r in G.closure(e).collect()}
+    want = {}
+    for g, a, b in reach:
+        if (g, b, a) in reach and a != b:
+            want[(g, a)] = min(want.get((g, a), a), a, b)
+    for walked in (0, 1000):
+        assert {(r.sample_id, r.fn): r.component for r in G.strong_components(e, walked).collect()} == want
+    some = spark.createDataFrame([("p", "f1"), ("r", "c2")], "sample_id string, fn string")
+    assert {(r.sample_id, r.src, r.dst) for r in G.closure(e, some).collect()} == {x for x in reach if x[:2] in (("p", "f1"), ("r", "c2"))}
+    assert G.strong_components(e.limit(0)).count() == 0
+
+
 def test_calls_through_aliases(spark):
     s = "sample_id string, fn string, name string, line int"
     calls = spark.createDataFrame([("s", "main", "g", 1), ("s", "main", "loc", 2), ("s", "main", "none", 3)], s)
@@ -232,3 +250,78 @@ def test_small_scripts_end_to_end(spark):
     assert len(got) == 6
     assert [got[k] for k in ("load.lsp", "hook.lsp", "run.lsp")] == ["MALICIOUS"] * 3
     assert [got[k] for k in ("white_fso.lsp", "white_plain.lsp", "empty.lsp")] == ["BENIGN"] * 3
+
+
+def test_medians_of_any_size(spark):
+    from triagelake.operators.evaluation import medians
+
+    rng = np.random.default_rng(3)
+    groups = {
+        "even": list(rng.lognormal(3, 2, 4000)), "odd": list(rng.integers(0, 50, 3001).astype(float)), "one": [7.0], "two": [1.0] * 500 + [2.0] * 500,
+        "same": [5.0] * 900, "far": [0.0] * 10 + [1e12] * 11,
+    }
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double").repartition(3)
+    for limit in (50, 100_000):
+        assert medians(df, "g", "v", limit) == [(g, float(np.median(groups[g]))) for g in sorted(groups)]
+    assert medians(df.limit(0), "g", "v") == []
+
+
+def test_source_split_is_greedy(spark):
+
+    rows = [(100 * k + i, f"d/src{k}a_part{k}.lsp", "MALICIOUS" if (i + k) % 3 else "BENIGN") for k in range(30) for i in range(k % 7 + 1)] + [(9999, None, None)]
+    got = A.source_split(spark.createDataFrame(rows, "stat_id long, sample string, label string")).collect()
+    of = {r.source: r.split for r in got}
+    assert len(got) == len(rows) and all(of[r.source] == r.split for r in got)
+    m = sum(r[2] == "MALICIOUS" for r in rows)
+    dev = [r for r in rows if any(g.stat_id == r[0] and g.split == "dev" for g in got)]
+    assert abs(sum(r[2] == "MALICIOUS" for r in dev) - 0.55 * m) <= 3 and abs(len(dev) - 0.55 * len(rows)) <= 5
+
+
+def test_hot_tokens_give_the_same_pairs(spark):
+    import random
+
+
+    rng = random.Random(6)
+    token = lambda: rng.choice(["hot", "hot:x", "warm", *[f"t{i}" for i in range(40)]])
+    left = spark.createDataFrame([(f"a{i}", token()) for i in range(25) for _ in range(6)], "item string, token string")
+    right = spark.createDataFrame([(f"b{i}", token()) for i in range(40) for _ in range(5)], "item string, token string")
+    plain = sorted(map(tuple, A.overlap_pairs(left, right).collect()))
+    assert sorted(map(tuple, A.overlap_pairs(left, right, hot=3).collect())) == plain and len(plain) > 50
+
+
+def test_macros_become_scripts(spark):
+
+    macro = '''Private Sub AcadDocument_BeginClose()
+  Set o = CreateObject("WScript.Shell")
+  Shell "cmd.exe /c del, all"
+  Shell regedit /s x.reg
+  Open "C:\\a b\\out.txt" For Output As #1
+  x = "HKEY_CURRENT_USER\\Software\\Run"
+  command "undefine", "line"
+  p = "C:\\my files\\acad.dwt"
+  q = "http://host.example/a"
+  r = "acaddoc.lsp"
+End Sub
+'''
+    df = spark.createDataFrame([("m", "r/m.lsp", macro, "lsp-vba"), ("s", "r/s.lsp", "(command \"line\")", "lsp")], "sample_id string, path string, text string, input_type string")
+    kinds = {}
+    for r in X.vba_behaviours(df.where("sample_id = 'm'")).orderBy("kind", "pos").collect():
+        kinds.setdefault(r.kind, []).append(r.value)
+    assert kinds["shell"] == ["cmd.exe /c del, all", "regedit /s x.reg"] and kinds["target"] == ["C:\\my files\\acad.dwt", "acaddoc.lsp"]
+    assert kinds["com_object"] == ["wscript.shell"] and kinds["hook"] == ["AcadDocument_BeginClose"]
+    script = df.where("sample_id = 'm'").select(X.macro_script(F.col("text"))).first()[0]
+    assert script.startswith("(defun s::startup ()\n  (vlr-dwg-reactor") and script.count("(defun vba-payload") == 1 and script.count("AutoEmbedding") == 1
+    f = pipeline.script_facts(df)
+    got = {(r.sample_id, r.effect_type) for r in f.effects.collect()}
+    assert {("m", "com_create"), ("m", "file_write"), ("m", "registry_modify")} <= got
+    assert ("m", "s::startup") in {(r.sample_id, r.fn.lower()) for r in f.functions.collect()}
+
+
+def test_effects_go_up_the_calls(spark):
+    e = edges(spark, ("a", "b"), ("b", "c"), ("c", "b"), ("x", "a"))
+    f = spark.createDataFrame([("s", "c", "file_write"), ("s", "c", "file_write"), ("s", "a", "file_read")], "sample_id string, fn string, effect_type string")
+    got = {(r.fn, r.effect_type): (r.n, r.own) for r in E.all_effects(f, e).collect()}
+    assert got == {
+        ("c", "file_write"): (2, True), ("b", "file_write"): (1, False), ("a", "file_write"): (1, False), ("x", "file_write"): (1, False),
+        ("a", "file_read"): (1, True), ("x", "file_read"): (1, False),
+    }

@@ -42,9 +42,60 @@ def test_merge_keeps_own_effects_first(spark):
     assert got == {("file_write", "f"), ("com_create", "m")}
 
 
+BEHAVIOUR = "sample_id string, kind string, category string, functions array<int>, evidence array<string>"
+
+
 def test_behaviours_stand_at_functions_or_the_module(spark):
-    b = spark.createDataFrame([("s", "registry_write", [4]), ("s", "process_start", [])], "sample_id string, kind string, functions array<int>")
-    assert {(r.fn, r.effect_type) for r in V.behaviour_effects(b).collect()} == {("fn_4", "registry_modify"), ("recovered_fas_module", "process_create")}
+    b = spark.createDataFrame(
+        [("s", "reactor_persistence", "persistence", [4], ["[VLR-DWG-Reactor"]), ("s", "file_search_copy_propagation", "propagation", [], ["findfile", "vl-file-copy"]), ("s", "wsf_payload_output", "file", [4], [".WSF", "ScriptControl"])], BEHAVIOUR
+    )
+    assert {(r.fn, r.effect_type, r.target, r.source) for r in V.behaviour_effects(b).collect()} == {
+        ("fn_0004", "com_invoke", "[VLR-DWG-Reactor", "fn_0004"), ("fn_0004", "file_write", ".WSF", "fn_0004"),
+        (V.MODULE, "file_read", "findfile", V.MODULE), (V.MODULE, "file_write", "vl-file-copy", V.MODULE),
+    }
+    assert {(r.fn, r.behaviour) for r in V.behaviour_summaries(b).collect()} == {("fn_0004", "reactor_persistence"), (V.MODULE, "file_search_copy_propagation"), ("fn_0004", "wsf_payload_output")}
+    e = V.recovered_evidence(b).first()
+    assert e.entry_points == ["fn_0004"] and e.code_loader_targets == [".WSF", "vl-file-copy"] and e.propagation_likely and len(e.methods) == 3
+
+
+def compiled(spark):
+    """A file whose functions search, copy, and hook a reactor; the top level
+    names the second one."""
+    call = lambda i: [0x35, 1, i, 0, 0]
+    push = lambda i: [0x09, i, 0]
+    frame = [0x14, 0, 0, 0, 0]
+    code = [1, 0, 0, 0, *frame, *push(0), *call(0), *push(1), *call(1), 0x16, *frame, *push(2), *call(2), *call(3), 0x16]
+    symbols = ["findfile", "VL-FILE-COPY", "vlr-dwg-reactor", "fn_0004"]
+    strings = ["acaddoc.lsp", "x", "y", "HKEY_CURRENT_USER\\Software\\Microsoft\\Windows Script Host\\Settings", "payload.WSF", "ScriptControl", "ADODB.Stream", "M=$(edtime,$(getvar,date),YYMODD)", None]
+    return spark.createDataFrame([("k", bytearray(code), symbols, strings), ("none", None, None, None)], "sample_id string, code binary, symbols array<string>, strings array<string>")
+
+
+def test_six_behaviours_of_compiled_code(spark):
+    files = compiled(spark)
+    pool = files.select("sample_id", F.explode("strings").alias("value"))
+    i = B.instructions(files)
+    got = {r.kind: (r.category, r.functions, r.evidence) for r in B.behaviours(i, pool).collect()}
+    assert set(got) == {k for k, _, _ in B.BEHAVIOURS}
+    assert got["file_search_copy_propagation"] == ("propagation", [4], ["findfile", "vl-file-copy"])
+    assert got["reactor_persistence"][1] == [26] and got["script_payload_staging"][1] == [] and got["wsh_warning_suppression"][1] == []
+    assert set(r.kind for r in B.behaviours(i).collect()) == {"file_search_copy_propagation", "reactor_persistence"}
+
+
+def test_recovered_code_is_part_of_the_scores(spark):
+    from triagelake.plans import pipeline
+
+    files = compiled(spark)
+    resources = spark.createDataFrame([("k", 0, "http://host.example/x")], "sample_id string, idx int, value string")
+    found = pipeline.recovered(files, resources)
+    samples = spark.createDataFrame([("k", "r/k.fas", None, "fas"), ("none", "r/n.fas", None, "fas")], "sample_id string, path string, text string, input_type string")
+    f = pipeline.script_facts(samples, found)
+    assert {r.fn for r in f.functions.collect()} == {"fn_0004", "fn_001a"}
+    from triagelake.operators import graph as G
+
+    assert {(r.caller, r.callee) for r in G.call_targets(f.calls, f.functions, f.aliases).collect()} == {("fn_001a", "fn_0004")}
+    assert {("file_read", "findfile"), ("network_connect", "http://host.example/x"), ("com_create", "ADODB.Stream")} <= {(r.effect_type, r.target) for r in f.effects.collect()}
+    scores = {r.sample_id: r for r in pipeline.scores(samples, extra=found).collect()}
+    assert scores["k"].risk > scores["none"].risk and scores["k"].effects >= 8 and scores["none"].effects == 0
 
 
 def test_names_expressions_and_rendering(spark):

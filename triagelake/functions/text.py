@@ -54,47 +54,111 @@ def is_vba(text: Column) -> Column:
     return F.coalesce((n >= 2) & (n > _signs(head, LISP_SIGNS)), F.lit(False))
 
 
-# fixed values: what a macro does, by pattern and group
+# fixed values: what a macro does, by pattern
 VBA_BEHAVIOURS = {
-    "shell": (r'(?i)\bShell\s+"?([^",\n]+)', 1),
-    "com_object": (r'(?i)(?:CreateObject|GetObject)\s*\(\s*["\']?\s*"?([^"(),\s]+)"?', 1),
-    "file_write": (r'(?i)\bOpen\s+"([^"]+)"\s+For\s+Output', 1),
-    "file_read": (r'(?i)\bOpen\s+"([^"]+)"\s+For\s+Input', 1),
-    "registry": (r'(?i)(HKEY_[A-Z_]+\\[^\n"]{1,120})', 1),
-    "url": (r"(?i)(https?://[^\s\"'()]+)", 1),
-    "hook": (r"(?i)Private\s+Sub\s+(AcadDocument_\w+|ACADApp_\w+)\s*\(", 1),
-    "undefine": (r"(?i)command\s+[\"']undefine[\"']\s*,?\s*[\"']([^\"']+)[\"']", 1),
-    "template": (r"(?i)([\w./\\-]*\.dwt)\b", 1),
-    "autoload": (r"(?i)(acaddoc\.lsp)", 1),
-    "wmi": (r"(?i)(winmgmts|WMIobj|SELECT\s+\*\s+FROM\s+\w+)", 1),
-    "mac": (r"(?i)(MACAddress|NetConnectionID)", 1),
-    "save_as": (r"(?i)(\.SaveAs)\b", 1),
-    "inject": (r"(?i)(InsertLines|AddFromString|CodeModule)", 1),
+    "shell": r'\bShell\s+"([^"]+)"|\bShell\s+([^\n,]+)',
+    "com_object": r'(?:CreateObject|GetObject)\s*\(\s*["\']?\s*"?([^"(),\s]+)"?',
+    "file_write": r'\bOpen\s+"([^"]+)"\s+For\s+Output',
+    "file_read": r'\bOpen\s+"([^"]+)"\s+For\s+Input',
+    "registry": r'(HKEY_[A-Z_]+\\[^\n"]+)',
+    "url": r"""https?://[^\s"'()]+""",
+    "hook": r"Private\s+Sub\s+(AcadDocument_\w+|ACADApp_\w+)\s*\(",
+    "template": r"\.dwt\b|acad\.dwt|acadiso\.dwt",
+    "autoload": r"acaddoc\.lsp",
+    "undefine": r"""command\s+["']undefine["']\s*,?\s*["']([^"']+)["']""",
+    "wmi": r"winmgmts|WMIobj|SELECT\s+\*\s+FROM\s+\w+",
+    "mac": r"MACAddress|NetConnectionID",
+    "save_as": r"\.SaveAs\b",
+    "inject": r"InsertLines|AddFromString|CodeModule",
 }
-# fixed values: effect that a behaviour stands for, and how many of a kind
-VBA_EFFECTS = {
-    "shell": ("process_create", 8), "com_object": ("com_create", 8), "file_write": ("file_write", 8), "file_read": ("file_read", 4),
-    "registry": ("registry_modify", 4), "url": ("network_connect", 4), "undefine": ("command_hijack", 8), "autoload": ("file_write", 4),
-}
+# fixed values: a template named in a macro, and the longest registry key kept
+VBA_TEMPLATE_PATH = r'"([^"]*\.dwt)"'
+VBA_KEY_LENGTH = 120
+# fixed values: of these kinds only the first few are translated
+VBA_LIMITS = {"registry": 8, "file_write": 8, "file_read": 4, "url": 4, "target": 4, "undefine": 8}
+
+
+def _found(text: Column, kind: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?i)" + VBA_BEHAVIOURS[kind]), F.lit(group))
+
+
+def vba_found(text: Column) -> dict[str, Column]:
+    """What a macro does: an array of values per kind, in order."""
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), '^"+|"+$', "")
+    shell = F.transform(F.filter(F.arrays_zip(_found(text, "shell", 1).alias("q"), _found(text, "shell", 2).alias("b")), lambda x: x.isNotNull()), lambda x: bare(F.coalesce(F.nullif(x["q"], F.lit("")), x["b"])))
+    out = {
+        "shell": F.filter(shell, lambda x: x != ""),
+        "com_object": F.transform(_found(text, "com_object", 1), F.lower),
+        **{k: _found(text, k, 1) for k in ("file_write", "file_read", "hook", "undefine")},
+        "registry": F.transform(_found(text, "registry", 1), lambda x: F.left(x, F.lit(VBA_KEY_LENGTH))),
+        **{k: _found(text, k) for k in ("url", "template", "autoload", "wmi", "mac", "save_as", "inject")},
+    }
+    templates = F.when(F.size(out["template"]) > 0, F.regexp_extract_all(text, F.lit(VBA_TEMPLATE_PATH), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    out["target"] = F.concat(templates, F.slice(F.transform(out["autoload"], lambda _: F.lit("acaddoc.lsp")), 1, 1))
+    return out
 
 
 def vba_behaviours(samples: DataFrame, key: str = "sample_id", text: str = "text") -> DataFrame:
-    """``(sample_id, kind, value, pos)`` of what macro sources do."""
-    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(text, F.lit(p), F.lit(g)).alias("found")) for k, (p, g) in VBA_BEHAVIOURS.items()])
+    """``(sample_id, kind, pos, value)`` of what macro sources do."""
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("found")) for k, v in vba_found(F.col(text)).items()])
     rows = samples.where(F.col(text).isNotNull()).select(key, F.explode(each).alias("b"))
     return rows.select(key, "b.kind", F.posexplode("b.found").alias("pos", "value")).where("value <> ''")
 
 
-def vba_effects(behaviours: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Effects of macro sources, the first few of each kind."""
-    w = Window.partitionBy(key, "kind").orderBy("pos")
-    kinds = F.create_map(*[x for k, (e, _) in VBA_EFFECTS.items() for x in (F.lit(k), F.lit(e))])
-    limits = F.create_map(*[x for k, (_, n) in VBA_EFFECTS.items() for x in (F.lit(k), F.lit(n))])
-    ranked = behaviours.where(F.col("kind").isin(*VBA_EFFECTS)).withColumn("k", F.row_number().over(w))
-    return ranked.where(F.col("k") <= limits[F.col("kind")]).select(
-        key, F.col("pos").alias("seq"), F.lit("vba_module").alias("fn"), kinds[F.col("kind")].alias("effect_type"), F.trim("value").alias("target"), F.concat(F.lit("vba_"), "kind").alias("source"),
-        F.create_map(F.lit("recovered_from"), F.lit("vba")).alias("meta"), F.lit(None).cast("int").alias("line"),
+# fixed values: script lines that stand for a macro's behaviours; {} is the value
+VBA_HOOK_LINES = (
+    "  (vlr-dwg-reactor nil (list (cons :vlr-beginClose (function vba-payload))))",
+    "  (vlr-dwg-reactor nil (list (cons :vlr-saveComplete (function vba-payload))))",
+)
+VBA_COM_LINE = '  (vlax-create-object "{}")'
+VBA_SHELL_LINE = '  (command "shell" "{}")'
+VBA_REGEDIT_LINE = r'  (vl-registry-write "HKEY_CURRENT_USER\\Software\\Autodesk" "AutoEmbedding" 1)'
+VBA_REGISTRY_LINE = '  (vl-registry-write "{}" "value" 1)'
+VBA_WRITE_LINES = '  (setq _f (open "{}" "w"))\n  (close _f)'
+VBA_READ_LINES = '  (setq _f (open "{}" "r"))\n  (close _f)'
+VBA_URL_LINE = '  (vlax-invoke-method _http "Open" "GET" "{}" nil)'
+VBA_WMI_LINES = ('  (vlax-create-object "WbemScripting.SWbemLocator")', '  (vlax-invoke-method _wmi "ExecQuery" "SELECT * FROM Win32_NetworkAdapter")')
+VBA_SPREAD_LINE = '  (vl-file-copy (findfile "acaddoc.lsp") (strcat (getvar "roamablerootprefix") "acaddoc.lsp"))'
+VBA_TARGET_LINE = '  (vl-file-copy _src "{}")'
+VBA_UNDEFINE_LINE = '  (command "undefine" "{}")'
+VBA_INJECT_LINES = (
+    '  (setq _doc (vlax-get-property (vlax-get-acad-object) "ActiveDocument"))',
+    '  (setq _vbe (vlax-get-property _doc "VBProject"))',
+    '  (setq _code (vlax-get-property _vbe "CodeModule"))',
+    '  (vlax-invoke-method _code "InsertLines" 1 "(setq flag t)")',
+    r'  (vlax-invoke-method _code "AddFromString" "(load \"acaddoc.lsp\")")',
+)
+VBA_PAYLOAD_LINES = ('  (setq _src (findfile "acaddoc.lsp"))', '  (vl-file-copy _src (strcat (getvar "roamablerootprefix") "acaddoc.lsp"))')
+
+
+def macro_script(text: Column) -> Column:
+    """A script that does what a macro does, so that one front end reads both.
+
+    Start-up holds a line per behaviour, the first few of some kinds; hooks
+    call a payload of their own.
+    """
+    found = vba_found(text)
+
+    def lines(kind: str, line: str) -> Column:
+        some = F.slice(found[kind], 1, VBA_LIMITS[kind]) if kind in VBA_LIMITS else found[kind]
+        before, after = line.split("{}")
+        return F.transform(some, lambda x: F.concat(F.lit(before), escape(x), F.lit(after)))
+
+    fixed = lambda *x: F.array(*map(F.lit, x))
+    none = F.array().cast("array<string>")
+    given = lambda c, *x: F.when(c, fixed(*x)).otherwise(none)
+    some = lambda k: F.size(found[k]) > 0
+    hooks = F.flatten(F.transform(F.filter(found["hook"], lambda h: F.lower(h).rlike("beginclose|activate")), lambda _: fixed(*VBA_HOOK_LINES)))
+    before, after = VBA_SHELL_LINE.split("{}")
+    shell = F.flatten(F.transform(found["shell"], lambda x: F.concat(F.array(F.concat(F.lit(before), escape(x), F.lit(after))), given(F.lower(x).contains("regedit"), VBA_REGEDIT_LINE))))
+    infects = some("template") | some("save_as")
+    body = F.concat(
+        fixed("(defun s::startup ()"), hooks, lines("com_object", VBA_COM_LINE), shell, lines("registry", VBA_REGISTRY_LINE), lines("file_write", VBA_WRITE_LINES), lines("file_read", VBA_READ_LINES),
+        lines("url", VBA_URL_LINE), given(some("mac") | some("wmi"), *VBA_WMI_LINES), F.when(infects, F.concat(fixed(VBA_SPREAD_LINE), lines("target", VBA_TARGET_LINE))).otherwise(none),
+        lines("undefine", VBA_UNDEFINE_LINE), given(some("inject"), *VBA_INJECT_LINES, VBA_SPREAD_LINE), fixed(")"),
+        F.when(some("hook"), F.concat(fixed("(defun vba-payload (/ _src _dst)"), given(infects, *VBA_PAYLOAD_LINES), lines("target", VBA_TARGET_LINE), fixed(")"))).otherwise(none),
     )
+    return F.array_join(body, "\n")
 
 
 def line_rows(texts: DataFrame, key: str, text: str) -> DataFrame:

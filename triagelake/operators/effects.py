@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions import vocabulary as V
+from triagelake.session import staged
 
 EFFECT_COLUMNS = ("sample_id", "seq", "fn", "effect_type", "target", "source", "meta", "line")
 
@@ -198,20 +199,28 @@ def direct_effects(effects: DataFrame) -> DataFrame:
     return effects.groupBy("sample_id", "fn", "effect_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def all_effects(effects: DataFrame, reach: DataFrame) -> DataFrame:
+def all_effects(effects: DataFrame, edges: DataFrame) -> DataFrame:
     """Own effects of a function (with counts) and those it inherits from the
     functions it reaches (each type once, unless it is its own).
 
-    ``reach(sample_id, src, dst)`` holds the functions reached in one call or
-    more.
+    Effect types go from callee to caller along ``edges(sample_id, caller,
+    callee)`` until none is new, so what is held is a row per function and
+    type, not one per pair of functions.
     """
     own = direct_effects(effects)
-    inherited = (
-        reach.join(own.select("sample_id", F.col("fn").alias("dst"), "effect_type").distinct(), ["sample_id", "dst"])
-        .select("sample_id", F.col("src").alias("fn"), "effect_type")
-        .distinct()
-    )
-    both = own.withColumn("own", F.lit(True)).unionByName(inherited.select("*", F.lit(1).cast("bigint").alias("n"), F.lit(False).alias("own")))
+    up = staged(edges.select("sample_id", F.col("callee").alias("fn"), "caller").distinct())
+    have = new = staged(own.select("sample_id", "fn", "effect_type"))
+    rounds = 0
+    while True:
+        rounds += 1
+        given = new.join(up, ["sample_id", "fn"]).select("sample_id", F.col("caller").alias("fn"), "effect_type").distinct()
+        new = staged(given.join(have, ["sample_id", "fn", "effect_type"], "left_anti"))
+        if new.isEmpty():
+            break
+        have = have.unionByName(new)
+        if rounds % 8 == 0:
+            have = staged(have)
+    both = own.withColumn("own", F.lit(True)).unionByName(have.select("*", F.lit(1).cast("bigint").alias("n"), F.lit(False).alias("own")))
     return both.groupBy("sample_id", "fn", "effect_type").agg(
         F.coalesce(F.max(F.when(F.col("own"), F.col("n"))), F.lit(1)).alias("n"), F.bool_or("own").alias("own")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelake.operators.scoring import Parameters, floor_of, multiplier_of, risk
-from triagelake.session import hot_keys, join_unique
+from triagelake.session import hot_keys, join_unique, staged
 
 STAGES = ("read_ms", "frontend_ms", "parse_ms", "ir_ms", "formal_ms", "detection_ms", "encoding_ms", "total_ms")
 FAILED = ("TIMEOUT", "ERROR")
@@ -60,10 +60,71 @@ def timing(evals: DataFrame) -> DataFrame:
     """Mean, exact median and maximum of each stage's measured times."""
     rows = delivered_once(evals, "verdict", *STAGES).where(~F.col("verdict").isin(*FAILED))
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(s).alias("ms")) for s in STAGES])).alias("x")).select("x.*")
-    long = long.where(F.col("ms").isNotNull() & ~F.isnan("ms") & (F.col("ms") >= 0) & (F.col("ms") < 1e300))
-    return long.groupBy("stage").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("ms"), 3).alias("avg_ms"), F.round(F.median("ms"), 6).alias("median_ms"), F.round(F.max("ms"), 6).alias("max_ms")
-    )
+    long = staged(long.where(F.col("ms").isNotNull() & ~F.isnan("ms") & (F.col("ms") >= 0) & (F.col("ms") < 1e300)))
+    sums = long.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ms"), 3).alias("avg_ms"), F.round(F.max("ms"), 6).alias("max_ms"))
+    middle = long.sparkSession.createDataFrame(medians(long, "stage", "ms"), "stage string, median_ms double")
+    return sums.join(F.broadcast(middle), "stage").select("stage", "n", "avg_ms", F.round("median_ms", 6).alias("median_ms"), "max_ms")
+
+
+# values of a group that may be sorted in one buffer
+SORTED = 100_000
+MAX_GROUPS = 1_000
+
+
+def medians(rows: DataFrame, group: str, value: str, limit: int = SORTED) -> list[tuple]:
+    """(group, median) of few groups of any size, exact.
+
+    The range that holds the middle is narrowed by approximate percentiles
+    and counted, until few enough values are left in it to sort them; no
+    buffer holds more than ``limit`` different values of a group.
+    """
+    spark = rows.sparkSession
+    g, v = F.col(group), F.col(value)
+    total = {r[0]: r[1] for r in rows.groupBy(g).count().limit(MAX_GROUPS + 1).collect()}
+    if len(total) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
+    # [lo, hi] holds both middle values; below: how many values are less than lo
+    open_ = {k: (float("-inf"), float("inf"), 0, n) for k, n in total.items()}
+    out = {}
+    while open_:
+        table = spark.createDataFrame([(k, *x[:2], x[3]) for k, x in open_.items()], "_g string, _lo double, _hi double, _n bigint")
+        inside = rows.select(g.cast("string").alias("_g"), v.alias("_v")).join(F.broadcast(table), "_g").where("_v >= _lo and _v <= _hi")
+        below = {k: x[2] for k, x in open_.items()}
+        at = lambda k: ((total[k] - 1) // 2 - below[k], total[k] // 2 - below[k])
+        picks = spark.createDataFrame([(k, *at(k)) for k in open_], "_g string, a bigint, b bigint")
+        # equal values are one row; a window holds at most ``limit`` of them
+        small = inside.where(F.col("_n") <= limit).groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        holds = lambda x: (F.col("before") <= F.col(x)) & (F.col(x) < F.col("before") + F.col("n"))
+        ends = small.withColumn("before", before).join(F.broadcast(picks), "_g").groupBy("_g").agg(
+            F.max(F.when(holds("a"), F.col("_v"))).alias("a"), F.max(F.when(holds("b"), F.col("_v"))).alias("b")
+        )
+        for r in ends.collect():
+            out[r[0]] = (r.a + r.b) / 2
+            del open_[r[0]]
+        if not open_:
+            break
+        shares = [(k, max((at(k)[0] + 1) / x[3] - 0.002, 0.0), min((at(k)[1] + 1) / x[3] + 0.002, 1.0)) for k, x in open_.items()]
+        near = []
+        for k, low, high in shares:  # a few groups; each is one aggregate of the same pass
+            near += [F.percentile_approx(F.when(F.col("_g") == k, F.col("_v")), [low, high], 10_000)]
+        bounds = dict(zip([k for k, *_ in shares], inside.agg(*near).first()))
+        table = spark.createDataFrame([(k, float(b[0]), float(b[1])) for k, b in bounds.items()], "_g string, _a double, _b double")
+        counted = inside.join(F.broadcast(table), "_g").groupBy("_g").agg(
+            F.count_if(F.col("_v") < F.col("_a")).alias("less"), F.count_if(F.col("_v").between(F.col("_a"), F.col("_b"))).alias("n"), F.first("_a").alias("a"), F.first("_b").alias("b")
+        )
+        for r in counted.collect():
+            k, (lo, hi, was, n) = r[0], open_[r[0]]
+            first, last = at(k)
+            if r.less <= first and last < r.less + r.n and (r.n < n or r.a == r.b):
+                if r.a == r.b:
+                    out[k] = r.a
+                    del open_[k]
+                else:
+                    open_[k] = (r.a, r.b, was + r.less, r.n)
+            else:  # nothing got less, as few values are repeated: sort those
+                open_[k] = (lo, hi, was, min(n, limit))
+    return [(k, float(x)) for k, x in sorted(out.items())]
 
 
 def report(evals: DataFrame, top: int = 100) -> DataFrame:
@@ -239,22 +300,30 @@ def coordinate_descent(stats: DataFrame, p: Parameters = Parameters(), max_fpr:
 
 def ranked_below(df: DataFrame, by: list[str], digest: str, share: float, least: int = 1) -> DataFrame:
     """Rows whose rank by ``digest`` (hex) within ``by`` is at most
-    ``round(share * n)``, kept within ``[least, n - 1]``; column ``chosen``.
+    ``round(share * n)``, kept within ``[least, n - 1]``; column ``chosen``."""
+    n = F.col("_total")
+    return ranked_first(df, by, digest, F.greatest(F.least(F.round(n * F.lit(share)), n - 1), F.least(F.lit(least), n)))
+
+
+def ranked_first(df: DataFrame, by: list[str], digest: str, k: Column) -> DataFrame:
+    """Column ``chosen``: is the rank by ``digest`` (hex) within ``by`` at most
+    ``k``, a column of the group's own columns and of its size ``_total``.
 
     Ranks come from a histogram over the leading digits: only the bucket that
     the limit falls into is ranked row by row, so no group is sorted whole.
     """
-    bucket = F.substring(digest, 1, 4)
-    rows = df.withColumn("_b", bucket)
-    hist = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.withColumn("_b", F.substring(digest, 1, 4))
+    extra = [c for c in df.columns if c not in (*by, digest) and c.startswith("_")]
+    hist = rows.groupBy(*by, *extra, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*by)
     hist = hist.withColumn("_before", F.coalesce(F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = F.sum("_n").over(w)
-    k = F.greatest(F.least(F.round(total * F.lit(share)), total - 1), F.least(F.lit(least), total))
-    hist = hist.withColumn("_k", k.cast("bigint")).drop("_n")
-    joined = rows.join(hist, [*by, "_b"])
-    rank = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(digest))
-    return joined.withColumn("chosen", F.col("_before") + rank <= F.col("_k")).drop("_b", "_before", "_k")
+    hist = hist.withColumn("_total", F.sum("_n").over(w)).withColumn("_limit", k.cast("bigint"))
+    joined = rows.drop(*extra).join(hist.select(*by, "_b", "_n", "_before", "_limit"), [*by, "_b"])
+    edge = (F.col("_before") < F.col("_limit")) & (F.col("_before") + F.col("_n") > F.col("_limit"))
+    inner = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(digest))
+    ranked = joined.where(edge).withColumn("chosen", F.col("_before") + inner <= F.col("_limit"))
+    plain = joined.where(~edge).withColumn("chosen", F.col("_before") + F.col("_n") <= F.col("_limit"))
+    return ranked.unionByName(plain).drop("_b", "_n", "_before", "_limit")
 
 
 def stratified_split(stats: DataFrame, share: float = 0.55, seed: int = 20260416) -> DataFrame:
@@ -306,27 +375,44 @@ def source_key(sample: Column) -> Column:
     return F.coalesce(keyed, F.concat(F.lit("sample:"), base))
 
 
-def source_split(stats: DataFrame, share: float = 0.55) -> DataFrame:
-    """Whole sources to dev or test, greedily, largest first, balancing the
-    two labels' targets.  The choice is sequential over the table of sources
-    (one row each), which one task handles; the records never meet."""
-    rows = stats.select("stat_id", source_key(F.col("sample")).alias("source"), (F.col("label") == "MALICIOUS").cast("int").alias("m"))
-    groups = rows.groupBy("source").agg(F.sum("m").alias("m"), (F.count(F.lit(1)) - F.sum("m")).alias("b"))
+MAX_UNITS = 1_000_000
 
-    def choose(pdf):
-        pdf = pdf.assign(n=pdf["m"] + pdf["b"]).sort_values(["n", "source"], ascending=[False, True])
-        goal = (pdf["m"].sum() * share, pdf["b"].sum() * share)
-        m = b = 0
-        out = []
-        for x in pdf.itertuples():
-            gain = abs(goal[0] - m) + abs(goal[1] - b) - abs(goal[0] - m - x.m) - abs(goal[1] - b - x.b)
-            if gain > 0:
-                m, b = m + x.m, b + x.b
-            out.append((x.source, "dev" if gain > 0 else "test"))
-        return type(pdf)(out, columns=["source", "split"])
 
-    placed = groups.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(choose, "source string, split string")
-    return rows.join(placed, "source").select("stat_id", "source", "split")
+def source_split(stats: DataFrame, share: float = 0.55, seed: int = 20260416) -> DataFrame:
+    """Whole sources to dev or test, greedily, largest first (of those the
+    ones with more malicious records, then by digest), balancing the targets
+    of the two labels.
+
+    Sources with equal counts are one unit of the choice: of each so many go
+    to dev, which the driver finds by halving; units are far fewer than
+    sources (more than ``MAX_UNITS`` are refused).
+    """
+    source = F.coalesce(source_key(F.col("sample")), F.concat(F.lit("#"), F.col("stat_id").cast("string")))
+    rows = stats.select("stat_id", source.alias("source"), (F.col("label") == "MALICIOUS").cast("int").alias("m"))
+    groups = rows.groupBy("source").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"), (F.count(F.lit(1)) - F.coalesce(F.sum("m"), F.lit(0))).alias("b"))
+    groups = staged(groups.withColumn("h", F.md5(F.concat(F.lit(f"{seed}|"), F.col("source")))))
+    units = [tuple(r) for r in groups.groupBy("m", "b").agg(F.count(F.lit(1)).alias("k")).limit(MAX_UNITS + 1).collect()]
+    if len(units) > MAX_UNITS:
+        raise ValueError(f"more than {MAX_UNITS} kinds of sources")
+    goal = (sum(m * k for m, _, k in units) * share, sum(b * k for _, b, k in units) * share)
+    far = lambda m, b: abs(goal[0] - m) + abs(goal[1] - b)
+    dm = db = 0
+    chosen = []
+    for m, b, k in sorted(units, key=lambda u: (-u[0] - u[1], -u[0])):
+        # each further source of a unit gains no more than the one before
+        low, high = 0, k
+        while low < high:
+            mid = (low + high) // 2
+            if far(dm + mid * m, db + mid * b) > far(dm + (mid + 1) * m, db + (mid + 1) * b):
+                low = mid + 1
+            else:
+                high = mid
+        dm, db = dm + low * m, db + low * b
+        chosen.append((m, b, low))
+    taken = stats.sparkSession.createDataFrame(chosen, "m bigint, b bigint, _k bigint")
+    placed = ranked_first(groups.join(F.broadcast(taken), ["m", "b"]), ["m", "b"], "h", F.col("_k"))
+    placed = placed.select("source", F.when(F.col("chosen"), "dev").otherwise("test").alias("split"))
+    return join_unique(rows, placed, "source", "inner", hot_keys(rows, "source")).select("stat_id", "source", "split")
 
 
 # ------------------------------------------------------------ look-up, voting
@@ -399,18 +485,27 @@ def mask_runs(tokens: DataFrame, levels=(0.0, 0.1, 0.3, 0.4, 0.5, 0.6), seeds: i
     """Share of what is left when part of the tokens is masked, mean and
     population deviation over seeds.
 
-    ``tokens(token, n, total)`` is aggregated per token before levels and
-    seeds multiply it; of ``m`` tokens, ``round(f * m)`` (one at least where f
-    is positive) with the least digests are masked.
+    ``tokens(token, n, total)`` is aggregated per token before seeds multiply
+    it; of ``m`` tokens, ``round(f * m)`` (one at least where f is positive)
+    with the least digests are masked.  What lies below a limit comes from a
+    histogram over the leading digits; only its last bucket is ranked.
     """
-    runs = F.array(*[F.struct(F.lit(float(f)).alias("level"), F.lit(s).alias("run")) for f in levels for s in range(seeds)])
-    each = tokens.select("*", F.explode(runs).alias("r")).select("token", "n", "total", "r.*")
-    h = F.md5(F.concat_ws("|", F.lit(str(base_seed)), F.col("run").cast("string"), F.col("token")))
-    w = Window.partitionBy("level", "run")
-    m = F.count(F.lit(1)).over(w)
-    k = F.greatest(F.round(m * F.col("level")), F.when(F.col("level") > 0, 1).otherwise(0))
-    left = each.withColumn("kept", F.row_number().over(w.orderBy(h)) > k)
-    per = left.groupBy("level", "run").agg((F.sum(F.when(F.col("kept"), F.col("n")).otherwise(0)) / F.sum("n")).alias("kept_rows"), (F.sum(F.when(F.col("kept"), F.col("total")).otherwise(0.0)) / F.sum("total")).alias("kept_total"))
+    each = tokens.select("token", "n", "total", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("run"))
+    each = each.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(base_seed)), F.col("run").cast("string"), F.col("token")))).withColumn("b", F.substring("h", 1, 4))
+    hist = each.groupBy("run", "b").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("total").alias("total"))
+    w = Window.partitionBy("run").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_before") for c in ("k", "n", "total")], *[F.sum(c).over(Window.partitionBy("run")).alias(f"{c}_all") for c in ("k", "n", "total")])
+    level = F.col("level")
+    limit = F.greatest(F.round(F.col("k_all") * level), F.when(level > 0, 1).otherwise(0))
+    marked = hist.withColumn("level", F.explode(F.array(*[F.lit(float(f)) for f in levels]))).withColumn("limit", limit)
+    # the bucket in which the limit lies, or the first one where nothing is masked
+    at = marked.where((F.col("k_before") < F.col("limit")) & (F.col("k_before") + F.col("k") >= F.col("limit")) | (F.col("limit") == 0) & (F.col("k_before") == 0))
+    at = at.select("level", "run", "b", (F.col("limit") - F.col("k_before")).alias("inside"), "n_before", "total_before", "n_all", "total_all")
+    edge = each.join(F.broadcast(at), ["run", "b"])  # a row per level and seed
+    ranked = edge.withColumn("masked", F.row_number().over(Window.partitionBy("level", "run", "b").orderBy("h")) <= F.col("inside"))
+    per = ranked.groupBy("level", "run").agg(*[
+        (1 - (F.first(f"{c}_before") + F.sum(F.when(F.col("masked"), F.col(c)).otherwise(0))) / F.first(f"{c}_all")).alias(x) for c, x in (("n", "kept_rows"), ("total", "kept_total"))
+    ])
     return per.groupBy("level").agg(
         F.count(F.lit(1)).alias("runs"), F.round(F.avg("kept_rows"), 6).alias("rows_mean"), F.round(F.stddev_pop("kept_rows"), 6).alias("rows_std"),
         F.round(F.avg("kept_total"), 6).alias("total_mean"), F.round(F.stddev_pop("kept_total"), 6).alias("total_std"),
@@ -462,16 +557,34 @@ def strict_pairs(samples: DataFrame) -> DataFrame:
     return a.join(b, "stem", "full")
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame, top: int = 3) -> DataFrame:
+def overlap_pairs(left: DataFrame, right: DataFrame, top: int = 3, hot: int = 1_000) -> DataFrame:
     """Best ``top`` right items per left item by the number of shared tokens;
-    tokens with a namespace count three.  ``left/right(item, token)``."""
-    a, b = left.distinct(), right.select(F.col("item").alias("other"), "token").distinct()
+    tokens with a namespace count three.  ``left/right(item, token)``.
+
+    Tokens of more than ``hot`` right items are joined last, and not for every
+    left item: where the ``top`` best by rare tokens alone beat all that hot
+    tokens could give, only those candidates' hot tokens are counted.  Items
+    left over are joined on hot tokens in full, so the result is exact.
+    """
+    a, b = left.select("item", "token").distinct(), right.select(F.col("item").alias("other"), "token").distinct()
     weight = F.when(F.col("token").contains(":"), 3).otherwise(1)
-    scores = a.join(b, "token").where("item <> other").groupBy("item", "other").agg(F.sum(weight).alias("score"))
+    often = staged(b.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("token"))
+    rare = a.join(often, "token", "left_anti").join(b, "token").where("item <> other").groupBy("item", "other").agg(F.sum(weight).alias("score"))
+    if not often.isEmpty():
+        rare = staged(rare)
+        hot_a, hot_b = staged(a.join(often, "token", "left_semi")), staged(b.join(often, "token", "left_semi"))
+        most = hot_a.groupBy("item").agg(F.sum(weight).alias("most"))
+        by_score = Window.partitionBy("item").orderBy(F.col("score").desc(), "other")
+        nth = rare.withColumn("k", F.row_number().over(by_score)).where(F.col("k") == top).select("item", F.col("score").alias("nth"))
+        settled = staged(most.join(nth, "item", "left").select("item", (F.coalesce("nth", F.lit(0)) > F.col("most")).alias("settled")))
+        rest = hot_a.join(settled.where("not settled"), "item", "left_semi").join(hot_b, "token").where("item <> other")
+        known = hot_a.join(settled.where("settled"), "item", "left_semi").join(rare.select("item", "other"), "item").join(hot_b, ["other", "token"], "left_semi")
+        extra = rest.select("item", "other", "token").unionByName(known.select("item", "other", "token")).groupBy("item", "other").agg(F.sum(weight).alias("score"))
+        rare = rare.unionByName(extra).groupBy("item", "other").agg(F.sum("score").alias("score"))
     w = Window.partitionBy("item").orderBy(F.col("score").desc(), "other")
-    ranked = scores.withColumn("position", F.row_number().over(w).cast("bigint")).withColumn("best", F.max("score").over(Window.partitionBy("item")))
-    unique = F.count_if(F.col("score") == F.col("best")).over(Window.partitionBy("item")) == 1
-    return ranked.withColumn("accepted", (F.col("position") == 1) & unique).where(F.col("position") <= top).drop("best")
+    ranked = rare.withColumn("position", F.row_number().over(w).cast("bigint")).withColumn("next", F.lead("score").over(w))
+    first = (F.col("position") == 1) & (F.col("next").isNull() | (F.col("next") < F.col("score")))
+    return ranked.withColumn("accepted", first).where(F.col("position") <= top).drop("next")
 
 
 def label_score(label: Column, confidence: Column) -> Column:

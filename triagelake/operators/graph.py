@@ -2,7 +2,9 @@
 
 Edges are keyed by sample, so one run of an operator serves all samples.
 Reachability is a loop of joins against the frontier that keeps only new
-pairs, with the lineage cut each round.
+pairs, with the lineage cut each round; it starts from the functions asked
+for.  Cycles need no pairs: a small graph is walked in one pass, a large one
+is coloured over its edges.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ def call_targets(calls: DataFrame, functions: DataFrame, aliases: DataFrame) ->
     through the aliases that the caller and the top level assign."""
     called = calls.select("sample_id", F.col("fn").alias("caller"), F.col("name").alias("symbol")).where("symbol <> ''").distinct()
     known = functions.select("sample_id", F.col("fn").alias("callee")).distinct()
-    hit = called.join(known, (called.sample_id == known.sample_id) & (called.symbol == known.callee), "left").drop(known.sample_id)
+    # both may come from one table of facts, so the key has a name of its own
+    target = known.withColumnRenamed("sample_id", "_k")
+    hit = called.join(target, (F.col("sample_id") == F.col("_k")) & (F.col("symbol") == F.col("callee")), "left").drop("_k")
     found = hit.where("callee is not null").select("sample_id", "caller", "callee")
     # scope of an alias: its own function; the top level's serve every caller
     own = aliases.select("sample_id", F.col("fn").alias("caller"), F.col("name").alias("symbol"), F.col("target").alias("next"))
@@ -47,12 +51,15 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select("sample_id", F.col("callee").alias("caller"), F.col("caller").alias("callee"))
 
 
-def closure(edges: DataFrame) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """``(sample_id, src, dst, depth)`` of all pairs joined by a path of one
-    edge or more; depth is that of a shortest path."""
+    edge or more; depth is that of a shortest path.  With ``starts(sample_id,
+    fn)`` only paths from these."""
     e = staged(edges.select("sample_id", "caller", "callee").distinct())
     step = e.select("sample_id", F.col("caller").alias("dst"), F.col("callee").alias("next"))
     frontier = e.select("sample_id", F.col("caller").alias("src"), F.col("callee").alias("dst"), F.lit(1).alias("depth"))
+    if starts is not None:
+        frontier = staged(frontier.join(starts.select("sample_id", F.col("fn").alias("src")).distinct(), ["sample_id", "src"], "left_semi"))
     reached = frontier
     for depth in count(2):  # ends, as only new pairs go on
         new = frontier.join(step, ["sample_id", "dst"]).select("sample_id", "src", F.col("next").alias("dst")).distinct()
@@ -66,12 +73,139 @@ def closure(edges: DataFrame) -> DataFrame:
     return reached
 
 
-def strong_components(reach: DataFrame) -> DataFrame:
+# edges of a sample that are walked in one pass
+WALKED = 100_000
+
+
+def _per_graph(edges: DataFrame, walk, columns: str) -> DataFrame:
+    """``walk(pairs)`` of each sample's graph, graph after graph: a batch
+    holds many small ones, which one call a graph would be slow for."""
+    names = ["sample_id", *[c.split()[0] for c in columns.split(", ")]]
+
+    def run(it):
+        at, pairs = None, []
+        for pdf in it:
+            out = []
+            for sample, a, b in zip(pdf["sample_id"], pdf["caller"], pdf["callee"]):
+                if sample != at:
+                    out += [(at, *r) for r in walk(pairs)]
+                    at, pairs = sample, []
+                pairs.append((a, b))
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame([(at, *r) for r in walk(pairs)], columns=names)
+
+    by_graph = edges.select("sample_id", "caller", "callee").distinct().repartition("sample_id").sortWithinPartitions("sample_id", "caller", "callee")
+    return by_graph.mapInPandas(run, "sample_id string, " + columns)
+
+
+def _cycles(pairs: list) -> list:
+    """(function, component) of components of two or more of one graph: a walk
+    that keeps the lowest number seen below each function."""
+    out_of: dict[str, list] = {}
+    for a, b in pairs:
+        out_of.setdefault(a, []).append(b)
+    number: dict[str, int] = {}
+    low: dict[str, int] = {}
+    held: list[str] = []
+    inside: set[str] = set()
+    found = []
+
+    def enter(fn):
+        number[fn] = low[fn] = len(number)
+        held.append(fn)
+        inside.add(fn)
+        return fn, iter(out_of.get(fn, ()))
+
+    for root in out_of:
+        if root in number:
+            continue
+        work = [enter(root)]
+        while work:
+            node, rest = work[-1]
+            for b in rest:
+                if b not in number:
+                    work.append(enter(b))
+                    break
+                if b in inside:
+                    low[node] = min(low[node], number[b])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == number[node]:
+                    group = []
+                    while not group or group[-1] != node:
+                        group.append(held.pop())
+                    inside.difference_update(group)
+                    if len(group) > 1:
+                        least = min(group)
+                        found += [(fn, least) for fn in group]
+    return found
+
+
+def strong_components(edges: DataFrame, walked: int = WALKED) -> DataFrame:
     """``(sample_id, fn, component)`` of functions on a cycle of two or more;
-    the component is its least name."""
-    back = reach.select("sample_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = reach.join(back, ["sample_id", "src", "dst"]).where("src <> dst").select("sample_id", "src", "dst")
-    return mutual.groupBy("sample_id", F.col("src").alias("fn")).agg(F.least(F.min("dst"), F.col("src")).alias("component"))
+    the component is its least name.
+
+    Samples with at most ``walked`` edges are walked, one a group; the graphs
+    of larger ones are coloured by joins over their edges.
+    """
+    e = edges.select("sample_id", "caller", "callee").where("caller <> callee").distinct()
+    size = staged(e.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")))
+    large = size.where(F.col("n") > walked).select("sample_id")
+    # of functions without calls in or out none is on a cycle
+    e = staged(e)
+    busy = e.join(e.select("sample_id", F.col("callee").alias("caller")).distinct(), ["sample_id", "caller"], "left_semi").select("sample_id").distinct()
+    small = e.join(size.where(F.col("n") <= walked), "sample_id", "left_semi").join(busy, "sample_id", "left_semi")
+    found = _per_graph(small, _cycles, "fn string, component string")
+    if large.isEmpty():
+        return found
+    return found.unionByName(_coloured(staged(e.join(large, "sample_id", "left_semi"))))
+
+
+def _spread_least(edges: DataFrame, own: DataFrame) -> DataFrame:
+    """The least colour that reaches each function, along the edges."""
+    step = edges.select("sample_id", F.col("caller").alias("fn"), F.col("callee").alias("next"))
+    colour, moved = own, own
+    while True:
+        better = moved.join(step, ["sample_id", "fn"]).groupBy("sample_id", F.col("next").alias("fn")).agg(F.min("colour").alias("colour"))
+        moved = staged(better.join(colour.withColumnRenamed("colour", "was"), ["sample_id", "fn"]).where("colour < was").drop("was"))
+        if moved.isEmpty():
+            return colour
+        colour = staged(colour.unionByName(moved).groupBy("sample_id", "fn").agg(F.min("colour").alias("colour")))
+
+
+def _coloured(left: DataFrame) -> DataFrame:
+    """Cycles by colouring: each function takes the least name that reaches
+    it; those of a colour that reach its owner backwards are a component."""
+    found = None
+    while True:
+        while True:  # drop what has no call in, or none out
+            ins, outs = left.select("sample_id", F.col("callee").alias("caller")).distinct(), left.select("sample_id", F.col("caller").alias("callee")).distinct()
+            kept = staged(left.join(ins, ["sample_id", "caller"], "left_semi").join(outs, ["sample_id", "callee"], "left_semi"))
+            same = kept.count() == left.count()
+            left = kept
+            if same:
+                break
+        if left.isEmpty():
+            return found if found is not None else left.select("sample_id", F.col("caller").alias("fn"), F.col("callee").alias("component"))
+        names = left.select("sample_id", F.explode(F.array("caller", "callee")).alias("fn")).distinct()
+        colour = staged(_spread_least(left, staged(names.withColumn("colour", F.col("fn")))))
+        a, b = colour.select("sample_id", F.col("fn").alias("caller"), F.col("colour").alias("ca")), colour.select("sample_id", F.col("fn").alias("callee"), F.col("colour").alias("cb"))
+        inner = staged(left.join(a, ["sample_id", "caller"]).join(b, ["sample_id", "callee"]).where("ca = cb"))
+        back = inner.select("sample_id", F.col("callee").alias("fn"), F.col("caller").alias("next"))
+        part = moved = staged(colour.where("fn = colour"))
+        while True:
+            new = moved.join(back, ["sample_id", "fn"]).select("sample_id", F.col("next").alias("fn"), "colour").distinct()
+            moved = staged(new.join(part, ["sample_id", "fn"], "left_anti"))
+            if moved.isEmpty():
+                break
+            part = staged(part.unionByName(moved))
+        group = Window.partitionBy("sample_id", "colour")
+        cycles = part.withColumn("n", F.count(F.lit(1)).over(group)).where("n > 1").select("sample_id", "fn", F.col("colour").alias("component"))
+        found = staged(cycles if found is None else found.unionByName(cycles))
+        gone = part.select("sample_id", F.col("fn").alias("caller"))
+        left = staged(left.join(gone, ["sample_id", "caller"], "left_anti").join(gone.withColumnRenamed("caller", "callee"), ["sample_id", "callee"], "left_anti"))
 
 
 def component_metrics(components: DataFrame, edges: DataFrame, effects: DataFrame | None = None) -> DataFrame:
@@ -94,38 +228,37 @@ def component_metrics(components: DataFrame, edges: DataFrame, effects: DataFram
     return out.drop("inner_edges")
 
 
+def _open_again(pairs: list) -> list:
+    out_of: dict[str, list] = {}
+    for a, b in sorted(pairs):
+        out_of.setdefault(a, []).append(b)
+    state: dict[str, int] = {}
+    found = []
+    for root in sorted({x for p in pairs for x in p}):
+        if root in state:
+            continue
+        state[root] = 1
+        stack = [(root, iter(out_of.get(root, ())))]
+        while stack:
+            node, rest = stack[-1]
+            for b in rest:
+                if state.get(b) == 1:
+                    found.append((node, b))
+                elif b not in state:
+                    state[b] = 1
+                    stack.append((b, iter(out_of.get(b, ()))))
+                    break
+            else:
+                state[node] = 2
+                stack.pop()
+    return found
+
+
 def back_edges(edges: DataFrame) -> DataFrame:
     """Edges to a function that is still open in a depth-first walk that takes
-    names in order; one sample's graph per group."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        out_of: dict[str, list] = {}
-        for a, b in sorted(zip(pdf["caller"], pdf["callee"])):
-            out_of.setdefault(a, []).append(b)
-        state: dict[str, int] = {}
-        found = []
-        for root in sorted(set(pdf["caller"]) | set(pdf["callee"])):
-            if root in state:
-                continue
-            state[root] = 1
-            stack = [(root, iter(out_of.get(root, ())))]
-            while stack:
-                node, rest = stack[-1]
-                for b in rest:
-                    if state.get(b) == 1:
-                        found.append((node, b))
-                    elif b not in state:
-                        state[b] = 1
-                        stack.append((b, iter(out_of.get(b, ()))))
-                        break
-                else:
-                    state[node] = 2
-                    stack.pop()
-        out = pd.DataFrame(found, columns=["caller", "callee"])
-        out.insert(0, "sample_id", pdf["sample_id"].iloc[0])
-        return out
-
-    return edges.select("sample_id", "caller", "callee").distinct().groupBy("sample_id").applyInPandas(walk, "sample_id string, caller string, callee string")
+    names in order; one sample's graph, which is that of one script, is held
+    at a time."""
+    return _per_graph(edges, _open_again, "caller string, callee string")
 
 
 def spread(reach: DataFrame, entries: DataFrame, effects: DataFrame) -> DataFrame:
@@ -225,6 +358,6 @@ def reachable_blocks(entries: DataFrame, successors: DataFrame) -> DataFrame:
 
     ``entries(sample_id, block)``, ``successors(sample_id, src, dst)``.
     """
-    reach = closure(successors.select("sample_id", F.col("src").alias("caller"), F.col("dst").alias("callee")))
+    reach = closure(successors.select("sample_id", F.col("src").alias("caller"), F.col("dst").alias("callee")), entries.select("sample_id", F.col("block").alias("fn")))
     far = entries.join(reach.withColumnRenamed("src", "block"), ["sample_id", "block"]).select("sample_id", F.col("dst").alias("block"))
     return entries.select("sample_id", "block").unionByName(far).distinct()

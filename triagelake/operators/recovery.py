@@ -9,24 +9,54 @@ from pyspark.sql import functions as F
 from triagelake.operators.effects import any_in, dedup_cap
 from triagelake.operators.evaluation import set_compare
 
-# fixed values: effects that a recovered behaviour stands for
+# fixed values: effects that a recovered behaviour stands for; no target means
+# its first evidence
 BEHAVIOUR_EFFECTS = {
-    "startup_propagation": (("file_write", "vl-file-copy acaddoc.lsp"),), "file_discovery": (("file_read", "findfile"),), "network_access": (("network_connect", "recovered-network"),),
-    "registry_write": (("registry_modify", "recovered-registry"),), "process_start": (("process_create", "recovered-process"),), "reactor_hook": (("env_check", "vlr-reactor"),),
-    "file_removal": (("file_delete", "recovered-removal"),),
-}
+    "wsh_warning_suppression": (("registry_modify", None),),
+    "script_payload_staging": (("com_create", "ADODB.Stream"), ("com_invoke", "ScriptControl")),
+    "wsf_payload_output": (("file_write", None),),
+    "reactor_persistence": (("com_invoke", None),),
+    "timestamped_artifact_naming": (("env_check", "date"),),
+    "file_search_copy_propagation": (("file_read", "findfile"), ("file_write", "vl-file-copy")),
+}
+# fixed values: where behaviours without a function belong
+MODULE = "recovered_fas_module"
 LIGHT_FUNCTIONS, LIGHT_BINDINGS = 2_000, 5_000
 
 
+def _supporting(functions: Column) -> Column:
+    names = F.transform(functions, lambda f: F.format_string("fn_%04x", f))
+    return F.when(F.size(functions) > 0, names).otherwise(F.array(F.lit(MODULE)))
+
+
 def behaviour_effects(behaviours: DataFrame) -> DataFrame:
     """Synthetic effects, one set per behaviour and supporting function (the
-    module where none is named)."""
-    table = F.create_map(*[x for k, v in BEHAVIOUR_EFFECTS.items() for x in (F.lit(k), F.array(*[F.struct(F.lit(e).alias("e"), F.lit(t).alias("t")) for e, t in v]))])
-    fns = F.when(F.size("functions") > 0, F.transform("functions", lambda f: F.concat(F.lit("fn_"), f.cast("string")))).otherwise(F.array(F.lit("recovered_fas_module")))
-    rows = behaviours.select("sample_id", "kind", F.explode(fns).alias("fn")).select("sample_id", "kind", "fn", F.explode(F.try_element_at(table, F.col("kind"))).alias("x"))
+    module where none is named); the function is their source."""
+    table = F.create_map(*[x for k, v in BEHAVIOUR_EFFECTS.items() for x in (F.lit(k), F.array(*[F.struct(F.lit(e).alias("e"), F.lit(t).cast("string").alias("t")) for e, t in v]))])
+    rows = behaviours.select("sample_id", "kind", "category", "evidence", F.explode(_supporting(F.col("functions"))).alias("fn"))
+    rows = rows.select("*", F.posexplode(F.try_element_at(table, F.col("kind"))).alias("k", "x"))
+    meta = F.create_map(F.lit("recovered_from"), F.lit("fas_behavior"), F.lit("recovered_behavior"), F.col("kind"), F.lit("recovered_category"), F.col("category"))
     return rows.select(
-        "sample_id", F.lit(0).alias("seq"), "fn", F.col("x.e").alias("effect_type"), F.col("x.t").alias("target"), F.lit("recovered_fas_module").alias("source"),
-        F.create_map(F.lit("recovered_from"), F.col("kind")).alias("meta"), F.lit(None).cast("int").alias("line"),
+        "sample_id", F.col("k").alias("seq"), "fn", F.col("x.e").alias("effect_type"), F.coalesce("x.t", F.get("evidence", 0)).alias("target"), F.col("fn").alias("source"),
+        meta.alias("meta"), F.lit(None).cast("int").alias("line"),
+    )
+
+
+def behaviour_summaries(behaviours: DataFrame) -> DataFrame:
+    """``(sample_id, fn, behaviour)`` as functions' own behaviours have it."""
+    return behaviours.select("sample_id", F.explode(_supporting(F.col("functions"))).alias("fn"), F.col("kind").alias("behaviour")).distinct()
+
+
+def recovered_evidence(behaviours: DataFrame) -> DataFrame:
+    """What behaviours add to the evidence of spreading, per sample: methods,
+    entry points of reactors, code that is loaded, and whether it is likely."""
+    kind = F.col("kind")
+    spreads, output = kind == "file_search_copy_propagation", kind == "wsf_payload_output"
+    entries = F.flatten(F.collect_list(F.when(kind == "reactor_persistence", F.transform("functions", lambda f: F.format_string("fn_%04x", f)))))
+    loaded = F.array_sort(F.collect_set(F.when(spreads, "vl-file-copy").when(output, ".WSF")))
+    return behaviours.groupBy("sample_id").agg(
+        F.array_sort(F.collect_set("kind")).alias("methods"), F.array_sort(F.array_distinct(entries)).alias("entry_points"), loaded.alias("code_loader_targets"),
+        F.bool_or(kind.isin("reactor_persistence", "file_search_copy_propagation", "wsf_payload_output")).alias("propagation_likely"),
     )
 
 

@@ -8,6 +8,7 @@ scripts in the pipeline queries.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from triagelake.functions import vocabulary as V
@@ -21,7 +22,6 @@ from triagelake.operators import scoring as S
 from triagelake.operators import techniques as T
 from triagelake.plans import pipeline
 from triagelake.session import staged, table
-from triagelake.sources import bytecode as B2
 from triagelake.sources import lisp
 
 KINDS = {"click": "file_write", "view": "file_read", "purchase": "registry_modify", "error": "process_create", "signup": "com_create"}
@@ -45,7 +45,7 @@ def event_effects(spark, sf_dir):
 
 
 def effect_dedup(spark, sf_dir):
-    return E.dedup_cap(event_effects(spark, sf_dir), limit=20).select("sample_id", "seq", "effect_type", "target", "source")
+    return E.dedup_cap(event_effects(spark, sf_dir)).select("sample_id", "seq", "effect_type", "target", "source")
 
 
 def effect_tags(spark, sf_dir):
@@ -94,72 +94,83 @@ def technique_risk(spark, sf_dir):
 # ------------------------------------------------------------------- graphs
 
 
-def nation_edges(spark, sf_dir):
-    """Trade between nations as a call graph, one per return flag."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 44 and l_discount >= 0.085 and l_tax >= 0.065").select("l_orderkey", "l_suppkey", "l_returnflag")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    c, s, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
-    a = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("caller"))
-    b = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("callee"))
-    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(a, F.col("l_suppkey") == F.col("s_suppkey")).join(b, F.col("o_custkey") == F.col("c_custkey"))
-    return j.where("caller <> callee").select(F.col("l_returnflag").alias("sample_id"), "caller", "callee").distinct()
+def order_lines(spark, sf_dir):
+    """Lines of an order as calls: the nation of a line's supplier calls the
+    nation of the next line's; an order is a script of its own."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    s, n = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    j = li.join(s, li.l_suppkey == s.s_suppkey).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    return j.select(
+        F.col("l_orderkey").cast("string").alias("sample_id"), F.col("n_name").alias("fn"), "n_nationkey", "n_regionkey", "l_returnflag", F.col("l_linenumber").alias("line"), F.lead("n_name").over(w).alias("next")
+    )
+
+
+def order_edges(spark, sf_dir):
+    return order_lines(spark, sf_dir).where("fn <> next").select("sample_id", F.col("fn").alias("caller"), F.col("next").alias("callee")).distinct()
 
 
-def nation_effects(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    kinds = F.array_compact(F.array(F.when(F.col("n_nationkey") % 3 == 0, "file_write"), F.when(F.col("n_nationkey") % 4 == 0, "registry_modify"), F.when(F.col("n_nationkey") % 2 == 1, "file_read")))
-    e = n.select(F.col("n_name").alias("fn"), F.explode(kinds).alias("effect_type"))
-    return e.withColumn("sample_id", F.explode(F.array(F.lit("A"), F.lit("N"), F.lit("R"))))
+def order_effects(spark, sf_dir):
+    k = F.col("n_nationkey")
+    kinds = F.array_compact(F.array(F.when(k % 3 == 0, "file_write"), F.when(k % 4 == 0, "registry_modify"), F.when(k % 2 == 1, "file_read")))
+    return order_lines(spark, sf_dir).select("sample_id", "fn", F.explode(kinds).alias("effect_type"))
 
 
 def call_graph(spark, sf_dir):
-    return nation_edges(spark, sf_dir)
+    """Targets of calls that are made by name, by the name of an alias of the
+    top level, or by one of the caller's own that stands for that alias."""
+    rows = order_lines(spark, sf_dir)
+    nxt = F.col("next")
+    name = F.when(F.col("l_returnflag") == "A", nxt).when(F.col("l_returnflag") == "N", F.concat(F.lit("@"), nxt)).otherwise(F.concat(F.lit("@@"), nxt))
+    calls = rows.where("next is not null").select("sample_id", "fn", name.alias("name"), "line")
+    functions = rows.select("sample_id", "fn").distinct()
+    top = functions.select("sample_id", F.lit("__toplevel__").alias("fn"), F.concat(F.lit("@"), "fn").alias("name"), F.col("fn").alias("target"))
+    own = rows.where("l_returnflag not in ('A', 'N') and next is not null").select("sample_id", "fn", F.concat(F.lit("@@"), nxt).alias("name"), F.concat(F.lit("@"), nxt).alias("target"))
+    return G.call_targets(calls, functions, top.unionByName(own.distinct()))
 
 
 def reach_closure(spark, sf_dir):
-    return G.closure(nation_edges(spark, sf_dir))
+    return G.closure(order_edges(spark, sf_dir))
 
 
 def cycle_metrics(spark, sf_dir):
-    e = staged(nation_edges(spark, sf_dir))
-    m = G.component_metrics(G.strong_components(G.closure(e)), e, nation_effects(spark, sf_dir))
+    e = staged(order_edges(spark, sf_dir))
+    m = G.component_metrics(G.strong_components(e), e, order_effects(spark, sf_dir))
     return m.select("sample_id", "component", "size", F.size("entries").cast("bigint").alias("entries"), F.round("strength", 6).alias("strength"), F.array_join("effect_types", ",").alias("effect_types"))
 
 
 def inherited_effects(spark, sf_dir):
-    return E.all_effects(nation_effects(spark, sf_dir), G.closure(nation_edges(spark, sf_dir)))
+    return E.all_effects(order_effects(spark, sf_dir), order_edges(spark, sf_dir))
 
 
 def function_behaviours(spark, sf_dir):
-    return E.behaviours(E.all_effects(nation_effects(spark, sf_dir), G.closure(nation_edges(spark, sf_dir))))
+    return E.behaviours(E.all_effects(order_effects(spark, sf_dir), order_edges(spark, sf_dir)))
 
 
 def entry_spread(spark, sf_dir):
-    """What each of three nations reaches."""
-    e = nation_edges(spark, sf_dir)
-    starts = e.select("sample_id").distinct().select("sample_id", F.explode(F.array(F.lit("NATION_0"), F.lit("NATION_1"), F.lit("NATION_2"))).alias("fn"))
-    names = e.select("sample_id", F.col("caller").alias("fn")).distinct()
-    first = names.groupBy("sample_id").agg(F.slice(F.array_sort(F.collect_set("fn")), 1, 3).alias("f")).select("sample_id", F.explode("f").alias("fn"))
-    return G.spread(G.closure(e), first.unionByName(starts.join(names, ["sample_id", "fn"], "left_semi")).distinct(), nation_effects(spark, sf_dir)).select(
-        "sample_id", "entry", "reached", "write_sinks", "max_depth", F.round("coverage", 6).alias("coverage")
-    )
+    """What each caller reaches."""
+    e = staged(order_edges(spark, sf_dir))
+    starts = e.select("sample_id", F.col("caller").alias("fn")).distinct()
+    return G.spread(G.closure(e, starts), starts, order_effects(spark, sf_dir)).select("sample_id", "entry", "reached", "write_sinks", "max_depth", F.round("coverage", 6).alias("coverage"))
 
 
 def effect_chains(spark, sf_dir):
-    return G.chain_motifs(nation_effects(spark, sf_dir), nation_edges(spark, sf_dir))
+    return G.chain_motifs(order_effects(spark, sf_dir), order_edges(spark, sf_dir))
 
 
 def back_edges(spark, sf_dir):
-    return G.back_edges(nation_edges(spark, sf_dir))
+    return G.back_edges(order_edges(spark, sf_dir))
 
 
 def folded_definitions(spark, sf_dir):
-    """Nations that stay when those that others consume are folded away."""
+    """Nations of an order that stay when those that others consume are
+    folded away, but for those of one region."""
     from triagelake.operators.evaluation import folded
 
-    e = nation_edges(spark, sf_dir).where("sample_id = 'R'")
-    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
-    return folded(names, e.select(F.col("caller").alias("name"), F.col("callee").alias("dep")), table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_name").alias("name")))
+    name = lambda c: F.concat_ws(":", "sample_id", c)
+    rows = order_lines(spark, sf_dir)
+    uses = order_edges(spark, sf_dir).select(name("caller").alias("name"), name("callee").alias("dep"))
+    return folded(rows.select(name("fn").alias("name")), uses, rows.where("n_regionkey = 1").select(name("fn").alias("name")))
 
 
 # ----------------------------------------------------------------- pipeline
@@ -210,7 +221,7 @@ def script_prompts(spark, sf_dir):
 def script_eval_rows(spark, sf_dir):
     """Rows of the batch report: one per sample, failures with their error."""
     samples = table(spark, sf_dir, "samples")
-    failed = lisp.facts(samples.dropDuplicates(["sample_id"])).where("fact = 'error'").select("sample_id", F.col("name").alias("error"))
+    failed = lisp.facts(pipeline.once(samples)).where("fact = 'error'").select("sample_id", F.col("name").alias("error"))
     rows = pipeline.scores(samples).join(failed, "sample_id", "left")
     verdict = F.when(F.col("error").isNotNull(), "ERROR").otherwise(F.col("verdict"))
     return rows.select(
@@ -226,7 +237,7 @@ def script_bindings(spark, sf_dir):
 
 def script_apis(spark, sf_dir):
     """Interface names that scripts use, by the number of samples."""
-    a = V2.candidate_apis(lisp.facts(table(spark, sf_dir, "samples").dropDuplicates(["sample_id"])))
+    a = V2.candidate_apis(lisp.facts(pipeline.once(table(spark, sf_dir, "samples"))))
     return a.groupBy("api", V2.api_classes(F.col("api")).alias("class")).agg(F.count(F.lit(1)).alias("samples"))
 
 
@@ -248,26 +259,13 @@ def source_items(spark, sf_dir):
     return V2.source_items(s).groupBy("sample_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def code_names(spark, sf_dir):
-    return V2.function_names(B2.instructions(table(spark, sf_dir, "fas_bytes")))
-
-
-def code_expressions(spark, sf_dir):
-    return V2.expressions(B2.instructions(table(spark, sf_dir, "fas_bytes")))
-
-
-def code_sources(spark, sf_dir):
-    i = staged(B2.instructions(table(spark, sf_dir, "fas_bytes")))
-    return V2.rendered(V2.function_names(i), V2.expressions(i))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         effect_dedup, effect_tags, lift_first_match, propagation, target_kinds, effect_entropy, feature_severity, rule_hits, rule_evidence, technique_max, technique_risk,
         call_graph, reach_closure, cycle_metrics, inherited_effects, function_behaviours, entry_spread, effect_chains, back_edges, folded_definitions,
         script_effects, script_calls, script_rules, script_techniques, script_predicates, script_motifs, script_propagation, script_context, script_prompts,
-        script_eval_rows, script_bindings, script_apis, surface_mask, environment_classes, source_items, code_names, code_expressions, code_sources,
+        script_eval_rows, script_bindings, script_apis, surface_mask, environment_classes, source_items,
     )
 }
 
@@ -345,13 +343,12 @@ _TECH = [
 _TMAX = f"WITH {_E}, o AS (" + " UNION ALL ".join(f"SELECT sample_id, '{t}' AS technique, {c}::DOUBLE AS confidence FROM e WHERE {p}" for p, t, c in _TECH) + "), m AS (SELECT sample_id, technique, max(confidence) AS confidence FROM o GROUP BY ALL)"
 _WEIGHT = "CASE technique " + " ".join(f"WHEN '{t}' THEN {w}::DOUBLE" for t, _, w in V.TECHNIQUES) + " ELSE 0.5::DOUBLE END"
 _TAGS = "CASE effect_type " + " ".join(f"WHEN '{k}' THEN {_list(v)}" for k, v in V.TAGS.items()) + " END"
-_EDGES = """ed AS (SELECT DISTINCT l_returnflag AS sample_id, a.n_name AS caller, b.n_name AS callee FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey
- JOIN customer ON c_custkey = o_custkey JOIN nation a ON a.n_nationkey = s_nationkey JOIN nation b ON b.n_nationkey = c_nationkey
- WHERE l_quantity >= 44 AND l_discount >= 0.085 AND l_tax >= 0.065 AND a.n_name <> b.n_name)"""
+_EDGES = """ol AS (SELECT l_orderkey::VARCHAR AS sample_id, n_name AS fn, n_nationkey, n_regionkey, lead(n_name) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nxt
+ FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey), ed AS (SELECT DISTINCT sample_id, fn AS caller, nxt AS callee FROM ol WHERE fn <> nxt)"""
 _REACH = """rc(sample_id, src, dst, depth) AS (SELECT sample_id, caller, callee, 1 FROM ed UNION SELECT r.sample_id, r.src, x.callee, r.depth + 1 FROM rc r JOIN ed x ON x.sample_id = r.sample_id AND x.caller = r.dst WHERE r.depth < 26),
 cl AS (SELECT sample_id, src, dst, min(depth) AS depth FROM rc GROUP BY ALL)"""
-_NE = """ne AS (SELECT s AS sample_id, n_name AS fn, k AS effect_type FROM (SELECT *, unnest(list_filter([CASE WHEN n_nationkey % 3 = 0 THEN 'file_write' END, CASE WHEN n_nationkey % 4 = 0 THEN 'registry_modify' END,
- CASE WHEN n_nationkey % 2 = 1 THEN 'file_read' END], lambda x: x IS NOT NULL)) AS k FROM nation), (SELECT unnest(['A', 'N', 'R']) AS s))"""
+_NE = """ne AS (SELECT sample_id, fn, k AS effect_type FROM (SELECT *, unnest(list_filter([CASE WHEN n_nationkey % 3 = 0 THEN 'file_write' END, CASE WHEN n_nationkey % 4 = 0 THEN 'registry_modify' END,
+ CASE WHEN n_nationkey % 2 = 1 THEN 'file_read' END], lambda x: x IS NOT NULL)) AS k FROM ol))"""
 _SCC = "sc AS (SELECT a.sample_id, a.src AS fn, least(min(a.dst), a.src) AS component FROM cl a JOIN cl b ON a.sample_id = b.sample_id AND a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.sample_id, a.src)"
 _ALL = """al AS (SELECT coalesce(o.sample_id, i.sample_id) AS sample_id, coalesce(o.fn, i.fn) AS fn, coalesce(o.effect_type, i.effect_type) AS effect_type, coalesce(o.n, 1) AS n, o.fn IS NOT NULL AS own FROM
  (SELECT sample_id, fn, effect_type, count(*) AS n FROM ne GROUP BY ALL) o FULL JOIN (SELECT DISTINCT cl.sample_id, src AS fn, effect_type FROM cl JOIN ne ON ne.sample_id = cl.sample_id AND ne.fn = cl.dst) i
@@ -359,7 +356,7 @@ _ALL = """al AS (SELECT coalesce(o.sample_id, i.sample_id) AS sample_id, coalesc
 
 SQL = {
     "effect_dedup": f"""WITH {_E}, d AS (SELECT sample_id, min(seq) AS seq, effect_type, target, source FROM e GROUP BY sample_id, effect_type, target, source)
-SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY seq) <= 20""",
+SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY seq) <= 1000""",
     "effect_tags": f"WITH {_E} SELECT DISTINCT sample_id, effect_type || ':' || target AS effect_key, unnest({_TAGS}) AS tag FROM e",
     "lift_first_match": f"""WITH {_E} SELECT seq, r AS rule_id, CASE r WHEN 'PERSIST_001' THEN 'PERSISTENCE' WHEN 'PERSIST_002' THEN 'PERSISTENCE' WHEN 'STEALTH_002' THEN 'STEALTH' WHEN 'TEMP_FILE_WRITE' THEN 'TEMP_FILE_WRITE' WHEN 'BASIC_FILE_WRITE' THEN 'FILE_WRITE'
  WHEN 'BASIC_REGISTRY_WRITE' THEN 'REGISTRY_MOD' WHEN 'BASIC_PROCESS_CREATE' THEN 'PROCESS_EXEC' WHEN 'BASIC_COM_CREATE' THEN 'COM_CREATE' WHEN 'BASIC_NETWORK_CONNECT' THEN 'NETWORK_HTTP' ELSE upper(effect_type) END AS lifted_type,
@@ -383,7 +380,7 @@ SELECT sample_id, total, kinds, round(CASE WHEN kinds > 1 THEN (log2(total) - x
     "rule_evidence": f"{_HITS} SELECT sample_id, round(sum(severity * hits) / sum(hits), 6) AS rule_evidence, max((CASE rule_id {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in V.RISK_FLOORS.items())} ELSE 0.0 END)::DOUBLE) AS floor, sum(hits)::BIGINT AS rules FROM h GROUP BY sample_id",
     "technique_max": f"{_TMAX} SELECT * FROM m",
     "technique_risk": f"{_TMAX} SELECT sample_id, round(least(sum({_WEIGHT} * confidence) / sum({_WEIGHT}), 1.0), 6) AS attack_risk FROM m GROUP BY sample_id",
-    "call_graph": f"WITH {_EDGES} SELECT * FROM ed",
+    "call_graph": f"WITH {_EDGES} SELECT DISTINCT sample_id, fn AS caller, nxt AS callee FROM ol WHERE nxt IS NOT NULL",
     "reach_closure": f"WITH RECURSIVE {_EDGES}, {_REACH} SELECT * FROM cl",
     "cycle_metrics": f"""WITH RECURSIVE {_EDGES}, {_REACH}, {_NE}, {_SCC}, m AS (SELECT ed.*, p.component AS pc, q.component AS qc FROM ed LEFT JOIN sc p ON p.sample_id = ed.sample_id AND p.fn = caller LEFT JOIN sc q ON q.sample_id = ed.sample_id AND q.fn = callee)
 SELECT s.sample_id, s.component, count(*) AS size, (SELECT count(DISTINCT callee) FROM m WHERE m.sample_id = s.sample_id AND m.qc = s.component AND (m.pc IS NULL OR m.pc <> m.qc)) AS entries,
@@ -391,7 +388,7 @@ SELECT s.sample_id, s.component, count(*) AS size, (SELECT count(DISTINCT callee
  coalesce((SELECT string_agg(DISTINCT effect_type, ',' ORDER BY effect_type) FROM ne JOIN sc z ON z.sample_id = ne.sample_id AND z.fn = ne.fn WHERE z.sample_id = s.sample_id AND z.component = s.component), '') AS effect_types FROM sc s GROUP BY s.sample_id, s.component""",
     "inherited_effects": f"WITH RECURSIVE {_EDGES}, {_REACH}, {_NE}, {_ALL} SELECT * FROM al",
     "function_behaviours": f"""WITH RECURSIVE {_EDGES}, {_REACH}, {_NE}, {_ALL} SELECT sample_id, fn, 'stealth_persistence' AS behaviour FROM al WHERE effect_type IN ('file_write', 'registry_modify') GROUP BY sample_id, fn HAVING count(DISTINCT effect_type) = 2""",
-    "entry_spread": f"""WITH RECURSIVE {_EDGES}, {_REACH}, {_NE}, st AS (SELECT sample_id, caller AS entry FROM (SELECT DISTINCT sample_id, caller FROM ed) QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY caller) <= 3 OR caller IN ('NATION_0', 'NATION_1', 'NATION_2')),
+    "entry_spread": f"""WITH RECURSIVE {_EDGES}, {_REACH}, {_NE}, st AS (SELECT DISTINCT sample_id, caller AS entry FROM ed),
 p AS (SELECT sample_id, entry, fn, min(depth) AS depth FROM (SELECT sample_id, entry, entry AS fn, 0 AS depth FROM st UNION ALL SELECT st.sample_id, entry, dst, depth FROM st JOIN cl ON cl.sample_id = st.sample_id AND src = entry) GROUP BY ALL),
 w AS (SELECT DISTINCT sample_id, fn FROM ne WHERE effect_type = 'file_write')
 SELECT sample_id, entry, count(*) AS reached, count(wf) AS write_sinks, max(depth) AS max_depth, round(coalesce(count(wf) / nullif(max(tw), 0), 0), 6) AS coverage FROM (
@@ -404,6 +401,6 @@ SELECT k.sample_id, 'effect_chain' AS motif, fn AS anchor, round(least(0.4 + 0.1
  CASE WHEN value IN ('', 'unknown') THEN 'unresolved' WHEN regexp_matches(value, '^([A-Za-z]:[\\/]|[\\/]{2}|/)') THEN 'full' WHEN regexp_matches(value, '[\\/.]') THEN 'partial' ELSE 'unresolved' END AS level,
  CASE WHEN regexp_matches(t, 'acad\.lsp|acaddoc\.lsp|startup|\.mnl') THEN 'startup' WHEN regexp_matches(t, 'menu|\.mnu|\.cui') THEN 'menu' ELSE 'data' END AS what, count(*) AS n
 FROM (SELECT DISTINCT *, lower(value) AS t FROM fas_resources WHERE kind = 'symbol' AND value IS NOT NULL) GROUP BY ALL""",
-    "folded_definitions": f"""WITH {_EDGES}, c AS (SELECT DISTINCT callee FROM ed WHERE sample_id = 'R')
-SELECT n_name AS name FROM nation WHERE n_name NOT IN (SELECT callee FROM c) OR n_regionkey = 1""",
+    "folded_definitions": f"""WITH {_EDGES}, d AS (SELECT sample_id || ':' || fn AS name, bool_or(n_regionkey = 1) AS x FROM ol GROUP BY ALL)
+SELECT name FROM d WHERE x OR name NOT IN (SELECT sample_id || ':' || callee FROM ed)""",
 }

@@ -40,11 +40,23 @@ def eval_report(spark, sf_dir):
     return A.report(eval_base(spark, sf_dir))
 
 
+EVAL_TEXT = (
+    "sample", "input_type", "verdict", "rule_verdict", "final_verdict", "semantic_label", "fusion_summary", "llm_provider", "llm_model", "decision_model", "error",
+)
+EVAL_WHOLE = ("prompt_tokens", "completion_tokens", "techniques", "rule_count")
+EVAL_FLAGS = ("decision_agreement", "cache_hit")
+EVAL_NUMBERS = ("semantic_confidence", "llm_latency_ms", "p_malicious", "risk", "threshold", "attack_risk", *A.STAGES)
+
+
 def eval_csv(spark, sf_dir):
-    """Rows of the batch CSV with its number format."""
-    f4 = lambda c: F.format_string("%.4f", F.coalesce(F.col(c), F.lit(0.0))).alias(c)
-    rows = A.delivered_once(eval_base(spark, sf_dir), "sample", "verdict", "risk", "p_malicious", "threshold", "error")
-    return rows.select("eval_id", "sample", "verdict", f4("risk"), f4("p_malicious"), f4("threshold"), F.coalesce("error", F.lit("")).alias("error"))
+    """The 31 columns of the batch CSV with its number format: nulls are
+    empty, 0 or false, what is no number is 0."""
+    rows = A.delivered_once(eval_base(spark, sf_dir), *EVAL_TEXT, *EVAL_WHOLE, *EVAL_FLAGS, *EVAL_NUMBERS)
+    number = lambda c: F.format_string("%.4f", F.when(F.col(c).isNull() | F.isnan(c), 0.0).otherwise(F.col(c))).alias(c)
+    return rows.select(
+        "eval_id", *[F.coalesce(c, F.lit("")).alias(c) for c in EVAL_TEXT], *[F.coalesce(c, F.lit(0)).cast("string").alias(c) for c in EVAL_WHOLE],
+        *[F.coalesce(c, F.lit(False)).cast("string").alias(c) for c in EVAL_FLAGS], *[number(c) for c in EVAL_NUMBERS],
+    )
 
 
 def verdict_fusion(spark, sf_dir):
@@ -164,9 +176,13 @@ def pair_strict(spark, sf_dir):
 
 
 def pair_overlap(spark, sf_dir):
-    """Compiled files that share symbols with a namespace, best three each."""
-    t = table(spark, sf_dir, "fas_resources").where("kind = 'symbol' and value like 'vla%'").select(F.col("sample_id").alias("item"), F.col("value").alias("token"))
-    return A.overlap_pairs(t, t)
+    """Compiled files and the script sources that share most of their symbols,
+    best three each."""
+    _, symbols = _symbols(spark, sf_dir)
+    files = symbols.select(F.col("sample_id").alias("item"), F.lower("item").alias("token"))
+    s = table(spark, sf_dir, "samples").where("text is not null")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z][a-z0-9_:*<>-]+)"), F.lit(1)))
+    return A.overlap_pairs(files, s.select(F.col("sample_id").alias("item"), F.explode(words).alias("token")))
 
 
 QUERIES = {
@@ -218,6 +234,17 @@ _GRID = """g AS (
  (SELECT unnest(range(4)) AS l, unnest([3.0, 4.0, 5.0, 6.0]::DOUBLE[]) AS slope), (SELECT unnest(range(5)) AS n, unnest([0.45, 0.50, 0.55, 0.60, 0.65]::DOUBLE[]) AS threshold),
  (SELECT unnest(range(3)) AS o, unnest([0.9, 1.0, 1.1]::DOUBLE[]) AS factor)) WHERE 1.0::DOUBLE - w_rule - w_attack - w_feature BETWEEN 0.05::DOUBLE AND 0.30::DOUBLE)"""
 
+_DULL = ", ".join(f"'{x}'" for x in A.GENERIC_PARTS)
+_PLAIN = lambda x: f"coalesce(NOT regexp_matches({x}, '^[0-9a-f]{{16,}}$') AND {x} NOT IN ({_DULL}), false)"
+_ENDS = "regexp_replace(lower(regexp_extract(sample, '[^/\\\\]*$')), '\\.[^.]*$', '')"
+for _end in ("acad", "acaddoc", "mnl", "dcl"):
+    _ENDS = f"regexp_replace({_ENDS}, '\\.{_end}$', '')"
+_SOURCES = f"""sa AS (SELECT stat_id, label, trim(regexp_replace({_ENDS}, '^white_', '')) AS base FROM sample_stat),
+sb AS (SELECT *, list_filter(string_split_regex(base, '[_\\- .()\\[\\]{{}}+]'), lambda x: trim(x) <> '' AND x <> 'white') AS parts FROM sa),
+sc AS (SELECT *, list_filter(parts, lambda x: x NOT IN ({_DULL}))[1] AS p1 FROM sb), sd AS (SELECT *, list_position(parts, p1) AS k FROM sc), se AS (SELECT *, parts[k + 1] AS p2, parts[k + 2] AS p3 FROM sd),
+so AS (SELECT stat_id, label, coalesce(CASE WHEN p1 IS NULL THEN NULL WHEN regexp_matches(p1, '^[0-9a-f]{{16,}}$') THEN CASE WHEN {_PLAIN('p2')} THEN CASE WHEN {_PLAIN('p3')} THEN 'src:' || p2 || '_' || p3 ELSE 'src:' || p2 END ELSE 'hash:' || left(p1, 16) END
+ WHEN {_PLAIN('p2')} THEN 'src:' || p1 || '_' || p2 ELSE 'src:' || p1 END, 'sample:' || base) AS source FROM se)"""
+
 SQL = {
     "confusion_matrix": f"""SELECT tp, fp, tn, fn, {_RATES} FROM (SELECT {_counts(f'NOT ({_BENIGN})', "verdict = 'MALICIOUS'")} FROM {_once('sample', 'verdict')} WHERE verdict NOT IN ('TIMEOUT', 'ERROR'))""",
     "confusion_by_type": f"""SELECT lower(input_type) AS input_type, count(*) AS rows, count_if(verdict = 'MALICIOUS' AND NOT ({_BENIGN})) AS tp, count_if(verdict = 'MALICIOUS' AND {_BENIGN}) AS fp
@@ -228,8 +255,8 @@ SQL = {
     "verdict_counts": f"SELECT verdict, final_verdict, count(*) AS n FROM {_once('verdict', 'final_verdict')} GROUP BY ALL",
     "eval_report": f"""SELECT * FROM (SELECT row_number() OVER (ORDER BY verdict IN ('TIMEOUT', 'ERROR'), coalesce(risk, 0) DESC, sample, eval_id) AS position, eval_id, sample, verdict, risk
  FROM {_once('sample', 'verdict', 'risk')}) WHERE position <= 100""",
-    "eval_csv": f"""SELECT eval_id, sample, verdict, printf('%.4f', coalesce(risk, 0.0)) AS risk, printf('%.4f', coalesce(p_malicious, 0.0)) AS p_malicious, printf('%.4f', coalesce(threshold, 0.0)) AS threshold,
- coalesce(error, '') AS error FROM {_once('sample', 'verdict', 'risk', 'p_malicious', 'threshold', 'error')}""",
+    "eval_csv": f"""SELECT eval_id, {', '.join([f"coalesce({c}, '') AS {c}" for c in EVAL_TEXT] + [f"coalesce({c}, 0)::VARCHAR AS {c}" for c in EVAL_WHOLE] + [f"coalesce({c}, false)::VARCHAR AS {c}" for c in EVAL_FLAGS]
+ + [f"printf('%.4f', CASE WHEN {c} IS NULL OR isnan({c}) THEN 0.0::DOUBLE ELSE {c} END) AS {c}" for c in EVAL_NUMBERS])} FROM {_once(*EVAL_TEXT, *EVAL_WHOLE, *EVAL_FLAGS, *EVAL_NUMBERS)}""",
     "verdict_fusion": f"""SELECT eval_id, CASE WHEN coalesce(semantic_label, '') IN ('', rule_verdict) THEN rule_verdict WHEN rule_verdict = 'MALICIOUS' AND risk >= threshold + 0.15::DOUBLE THEN 'MALICIOUS'
  WHEN rule_verdict = 'BENIGN' AND semantic_label = 'MALICIOUS' AND semantic_confidence >= 0.9::DOUBLE AND risk >= threshold * 0.6::DOUBLE THEN 'MALICIOUS' ELSE 'SUSPICIOUS' END AS fused,
  CASE WHEN coalesce(semantic_label, '') = '' THEN 'rule-only' WHEN semantic_label = rule_verdict THEN 'agree' WHEN rule_verdict = 'MALICIOUS' AND risk >= threshold + 0.15::DOUBLE THEN 'strong-rule'
@@ -295,11 +322,19 @@ SELECT count_if(e AND r) AS matched, count_if(e AND NOT r) AS missed, count_if(N
  regexp_replace(regexp_replace(lower(regexp_extract(path, '[^/\\]*$')), '\.[a-z0-9]+$', ''), '_[0-9]+$', '') AS stem FROM samples),
 c AS (SELECT stem, min(path) AS compiled FROM r WHERE kind = 'c' GROUP BY 1), s AS (SELECT stem, min(path) AS source FROM r WHERE kind = 's' GROUP BY 1)
 SELECT coalesce(c.stem, s.stem) AS stem, compiled, source FROM c FULL JOIN s ON c.stem = s.stem""",
-    "pair_overlap": """WITH t AS (SELECT DISTINCT sample_id AS item, value AS token FROM fas_resources WHERE kind = 'symbol' AND value LIKE 'vla%'),
-s AS (SELECT a.item, b.item AS other, sum(CASE WHEN contains(a.token, ':') THEN 3 ELSE 1 END)::BIGINT AS score FROM t a JOIN t b ON a.token = b.token AND a.item <> b.item GROUP BY ALL),
+    "pair_overlap": """WITH a AS (SELECT DISTINCT sample_id AS item, lower(value) AS token FROM fas_resources WHERE kind = 'symbol' AND value IS NOT NULL),
+b AS (SELECT DISTINCT sample_id AS item, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_:*<>-]+')) AS token FROM samples WHERE text IS NOT NULL),
+s AS (SELECT a.item, b.item AS other, sum(CASE WHEN contains(a.token, ':') THEN 3 ELSE 1 END)::BIGINT AS score FROM a JOIN b ON a.token = b.token AND a.item <> b.item GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, other) AS position, max(score) OVER (PARTITION BY item) AS best FROM s),
 u AS (SELECT *, count_if(score = best) OVER (PARTITION BY item) AS ties FROM r)
 SELECT item, other, score, position, position = 1 AND ties = 1 AS accepted FROM u WHERE position <= 3""",
+    "source_groups": f"WITH {_SOURCES} SELECT source, count(*) AS records FROM so GROUP BY source",
+    "source_split": f"""WITH RECURSIVE {_SOURCES}, g AS (SELECT coalesce(source, '#' || stat_id) AS source, count(*) FILTER (label = 'MALICIOUS') AS m, count(*) FILTER (label IS DISTINCT FROM 'MALICIOUS') AS b FROM so GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY m + b DESC, m DESC, md5('20260416|' || source)) AS i FROM g), t AS (SELECT sum(m) * 0.55::DOUBLE AS gm, sum(b) * 0.55::DOUBLE AS gb FROM g),
+w(i, dm, db, dev) AS (SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, false UNION ALL
+ SELECT i, CASE WHEN x THEN dm + m ELSE dm END, CASE WHEN x THEN db + b ELSE db END, x FROM (
+  SELECT o.i, w.dm, w.db, o.m, o.b, abs(gm - dm) + abs(gb - db) > abs(gm - (dm + m)) + abs(gb - (db + b)) AS x FROM w JOIN o ON o.i = w.i + 1, t))
+SELECT stat_id, o.source, CASE WHEN dev THEN 'dev' ELSE 'test' END AS split FROM so JOIN o ON o.source = coalesce(so.source, '#' || stat_id) JOIN w ON w.i = o.i""",
 }
 
 

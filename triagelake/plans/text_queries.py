@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from triagelake.functions import text as X
 from triagelake.operators import records as N
+from triagelake.plans.pipeline import once
 from triagelake.session import staged, table
 from triagelake.sources import bytecode as B
 from triagelake.sources import containers as C
@@ -49,8 +50,11 @@ def vba_sources(spark, sf_dir):
 
 
 def vba_behaviours(spark, sf_dir):
-    b = X.vba_behaviours(table(spark, sf_dir, "samples").where("input_type = 'lsp-vba'").select("sample_id", "text").distinct())
-    return b.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sample_id").alias("samples"))
+    """Macro patterns in scripts and in documents, which quote some."""
+    t = table(spark, sf_dir, "samples").select("path", "text").distinct().select(F.col("path").alias("sample_id"), "text")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("sample_id"), "text")
+    b = X.vba_behaviours(t.unionByName(d))
+    return b.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sample_id").alias("samples"), F.max("value").alias("last"))
 
 
 def ioc_extract(spark, sf_dir):
@@ -72,36 +76,6 @@ def summary_effects(spark, sf_dir):
     return e.select("sample_id", "effect_type", "target", F.col("seq").cast("bigint").alias("seq"))
 
 
-def code_instructions(spark, sf_dir):
-    i = B.instructions(table(spark, sf_dir, "fas_bytes"))
-    return i.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sample_id").alias("files"))
-
-
-def code_frames(spark, sf_dir):
-    return B.frames(staged(B.instructions(table(spark, sf_dir, "fas_bytes"))))
-
-
-def code_edges(spark, sf_dir):
-    return B.edges(B.instructions(table(spark, sf_dir, "fas_bytes"))).groupBy("sample_id", "kind").agg(F.count(F.lit(1)).alias("n"))
-
-
-def code_blocks(spark, sf_dir):
-    return B.block_starts(staged(B.instructions(table(spark, sf_dir, "fas_bytes")))).groupBy("sample_id").agg(F.count(F.lit(1)).alias("blocks"))
-
-
-def code_owners(spark, sf_dir):
-    i = staged(B.instructions(table(spark, sf_dir, "fas_bytes")))
-    return B.owners(i, B.frames(i)).groupBy("sample_id").agg(F.count(F.lit(1)).alias("instructions"), F.count("owner").alias("owned"))
-
-
-def code_bindings(spark, sf_dir):
-    return B.bindings(B.instructions(table(spark, sf_dir, "fas_bytes")))
-
-
-def code_behaviours(spark, sf_dir):
-    return B.behaviours(B.instructions(table(spark, sf_dir, "fas_bytes")))
-
-
 def compiled_streams(spark, sf_dir):
     s = table(spark, sf_dir, "samples").where("input_type = 'fas'").select("sample_id", "content").distinct()
     return C.compiled_files(s).groupBy("used_fallback", "problem").agg(F.count(F.lit(1)).alias("n"), F.sum("stream1_length").alias("code_bytes"))
@@ -109,7 +83,7 @@ def compiled_streams(spark, sf_dir):
 
 def raw_strings(spark, sf_dir):
     s = table(spark, sf_dir, "samples").where("input_type in ('fas', 'vlx')").select("sample_id", "content").distinct()
-    return s.select("sample_id", F.size(C.raw_strings(F.col("content"))).alias("runs"))
+    return s.select("sample_id", F.size(C.raw_strings(F.col("content"))).cast("bigint").alias("runs"))
 
 
 def container_records(spark, sf_dir):
@@ -118,13 +92,13 @@ def container_records(spark, sf_dir):
 
 
 def script_nodes(spark, sf_dir):
-    f = lisp.facts(table(spark, sf_dir, "samples").dropDuplicates(["sample_id"]))
+    f = lisp.facts(table(spark, sf_dir, "samples").transform(once))
     return f.where("fact = 'node'").groupBy(F.col("name").alias("op")).agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("sample_id").alias("samples"), F.max("depth").alias("max_depth"))
 
 
 def list_assignments(spark, sf_dir):
     """Assignments of lists that are mostly literals, per sample."""
-    n = lisp.facts(table(spark, sf_dir, "samples").dropDuplicates(["sample_id"])).where("fact = 'node'")
+    n = lisp.facts(table(spark, sf_dir, "samples").transform(once)).where("fact = 'node'")
     sets = n.where("name = 'SETQ' and depth = 0").select("sample_id", F.get("args", 0).text.alias("variable"), F.get("args", 1).child.alias("seq"))
     lists = n.where("name = 'LIST' and size(args) > 0").select("sample_id", "seq", (F.size(F.filter("args", lambda a: a["kind"].isin("number", "text"))) / F.size("args")).alias("share"))
     return sets.join(lists, ["sample_id", "seq"]).where("share > 0.8").select("sample_id", "variable", F.lit(0.8).alias("confidence"))
@@ -132,7 +106,7 @@ def list_assignments(spark, sf_dir):
 
 def guarded_branches(spark, sf_dir):
     """IF nodes with a direct look at the environment."""
-    n = lisp.facts(table(spark, sf_dir, "samples").dropDuplicates(["sample_id"])).where("fact = 'node'").select("sample_id", "seq", "parent", "name", "fn", "line")
+    n = lisp.facts(table(spark, sf_dir, "samples").transform(once)).where("fact = 'node'").select("sample_id", "seq", "parent", "name", "fn", "line")
     n = staged(n)
     checks = n.where(F.lower("fn").isin("getenv", "sysvar", "getvar", "findfile")).select("sample_id", F.col("parent").alias("seq"))
     return n.where("name = 'IF'").join(checks, ["sample_id", "seq"], "left_semi").select("sample_id", "seq", "line", F.lit(0.7).alias("confidence"))
@@ -172,7 +146,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         comment_free, without_preamble, line_convergence, word_convergence, printable_runs, vba_sources, vba_behaviours, ioc_extract, resource_summary, summary_effects,
-        code_instructions, code_frames, code_edges, code_blocks, code_owners, code_bindings, code_behaviours, compiled_streams, raw_strings, container_records,
+        compiled_streams, raw_strings, container_records,
         script_nodes, list_assignments, guarded_branches, json_payloads, event_props, cache_keys, first_labels, scalars,
     )
 }
@@ -200,6 +174,18 @@ _CLASSES = r"""list_filter([
  CASE WHEN contains(value, '.') AND NOT starts_with(value, '[') AND length(value) > 3 THEN 'filename' END,
  CASE WHEN regexp_matches(value, '^\[(S::|VLR)') THEN 'reactor' END], lambda x: x IS NOT NULL)"""
 _SUMMARY = f"s AS (SELECT DISTINCT sample_id, idx, value, unnest({_CLASSES}) AS class FROM fas_resources WHERE value IS NOT NULL)"
+_PAIRS = {k: X.VBA_BEHAVIOURS[k].replace("'", "''") for k in X.VBA_BEHAVIOURS}
+_BARE = r"""regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^"+|"+$', '', 'g')"""
+_MACROS = " UNION ALL ".join(
+    f"SELECT sample_id, '{k}' AS kind, unnest({x}) AS value FROM t" for k, x in (
+        ("shell", f"list_transform(list_transform(list_zip(regexp_extract_all(text, '(?i){_PAIRS['shell']}', 1), regexp_extract_all(text, '(?i){_PAIRS['shell']}', 2)), lambda z: coalesce(nullif(z[1], ''), z[2])), lambda x: {_BARE})"),
+        ("com_object", f"list_transform(regexp_extract_all(text, '(?i){_PAIRS['com_object']}', 1), lambda x: lower(x))"),
+        ("registry", f"list_transform(regexp_extract_all(text, '(?i){_PAIRS['registry']}', 1), lambda x: left(x, {X.VBA_KEY_LENGTH}))"),
+        *[(k, f"regexp_extract_all(text, '(?i){_PAIRS[k]}', 1)") for k in ("file_write", "file_read", "hook", "undefine")],
+        *[(k, f"regexp_extract_all(text, '(?i){_PAIRS[k]}')") for k in ("url", "template", "autoload", "wmi", "mac", "save_as", "inject")],
+        ("target", f"list_concat(CASE WHEN regexp_matches(text, '(?i){_PAIRS['template']}') THEN regexp_extract_all(text, '{X.VBA_TEMPLATE_PATH}', 1) ELSE [] END, CASE WHEN regexp_matches(text, '(?i){_PAIRS['autoload']}') THEN ['acaddoc.lsp'] ELSE [] END)"),
+    )
+)
 _SIGNS = lambda ps: " + ".join(f"regexp_matches(text, '(?i){p}')::INT" for p in ps)
 
 SQL = {
@@ -214,6 +200,9 @@ SELECT doc_id, count(*) AS kept, md5(string_agg(line, chr(10) ORDER BY pos)) AS
 SELECT path, count(*) AS kept, sum(pos)::BIGINT AS positions FROM f WHERE n <= 16 GROUP BY path""",
     "printable_runs": """SELECT doc_id, count(*) AS runs, sum(length(run))::BIGINT AS chars, max(run) AS last_run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[ -~]{4,256}')) AS run FROM documents) GROUP BY doc_id""",
     "vba_sources": f"""SELECT input_type, v >= 2 AND v > l AS vba, count(*) AS n FROM (SELECT input_type, {_SIGNS(X.VBA_SIGNS)} AS v, {_SIGNS(X.LISP_SIGNS)} AS l FROM samples WHERE text IS NOT NULL) GROUP BY ALL""",
+    "vba_behaviours": f"""WITH t AS (SELECT DISTINCT path AS sample_id, text FROM samples UNION ALL SELECT doc_id::VARCHAR, text FROM documents), m AS ({_MACROS})
+SELECT kind, count(*) AS n, count(DISTINCT sample_id) AS samples, max(value) AS last FROM m WHERE value <> '' GROUP BY kind""",
+    "raw_strings": """SELECT sample_id, len(regexp_extract_all(regexp_replace(hex(content), '(..)', '\\1 ', 'g'), '(?:(?:[2-6][0-9A-F]|7[0-9A-E]) ){4,256}')) AS runs FROM (SELECT DISTINCT sample_id, content FROM samples WHERE input_type IN ('fas', 'vlx'))""",
     "ioc_extract": r"""SELECT source, CASE WHEN starts_with(v, 'http') THEN 'url' WHEN contains(v, '\') THEN 'windows_path' ELSE 'path' END AS kind, count(*) AS n, count(DISTINCT v) AS different
  FROM (SELECT source, unnest(regexp_extract_all(text, 'https?://[A-Za-z0-9./_-]+|[A-Za-z]:\\[A-Za-z0-9_.\\-]+|support/[A-Za-z0-9_./-]+')) AS v FROM documents) GROUP BY ALL""",
     "resource_summary": f"WITH {_SUMMARY} SELECT class, count(*) AS n, count(DISTINCT sample_id) AS files FROM s GROUP BY class",

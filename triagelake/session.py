@@ -62,7 +62,7 @@ def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     path = scratch(spark, "stage")
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def join_unique(

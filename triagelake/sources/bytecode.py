@@ -153,8 +153,8 @@ def owners(instr: DataFrame, bounds: DataFrame) -> DataFrame:
 
     A range join on the sample key; ``bounds(sample_id, frame, end)``.
     """
-    b = bounds.select("sample_id", F.col("frame").alias("owner"), "end")
-    hit = instr.join(b, (instr.sample_id == b.sample_id) & (instr.position >= b.owner) & (instr.position <= b.end), "left").drop(b.sample_id)
+    b = bounds.select(F.col("sample_id").alias("_k"), F.col("frame").alias("owner"), F.col("end").alias("_end"))
+    hit = instr.join(b, (F.col("sample_id") == F.col("_k")) & F.col("position").between(F.col("owner"), F.col("_end")), "left")
     return hit.groupBy("sample_id", "seq", "position").agg(F.max("owner").alias("owner"))
 
 
@@ -233,22 +233,81 @@ def summary_effects(summary: DataFrame) -> DataFrame:
     )
 
 
-def behaviours(instr: DataFrame) -> DataFrame:
-    """Behaviours that strings and calls of a compiled file show together,
-    with the functions that support them."""
-    text = F.lower(F.coalesce("text", F.lit("")))
-    words = {
-        "startup": ("acad.lsp", "acaddoc", "acad.fas", "acad.vlx", "s::startup"), "copy": ("vl-file-copy",), "find": ("findfile",), "com": ("vlax-create-object", "vlax-invoke"),
-        "net": ("http://", "https://", "xmlhttp", "winhttp"), "registry": ("vl-registry-write", "hkey_"), "exec": ("startapp", "wscript.shell", "cmd.exe"), "delete": ("vl-file-delete", "vla-delete"), "reactor": ("vlr-",),
-    }
-    flags = instr.select("sample_id", "frame", *[any_in(text, w).alias(k) for k, w in words.items()])
-    per = flags.groupBy("sample_id").agg(*[F.bool_or(k).alias(k) for k in words], *[F.array_sort(F.collect_set(F.when(F.col(k), F.col("frame")))).alias(f"{k}_in") for k in words])
-    kinds = {
-        "startup_propagation": ("startup", "copy"), "file_discovery": ("find", "copy"), "network_access": ("net", "com"), "registry_write": ("registry",),
-        "process_start": ("exec",), "reactor_hook": ("reactor",), "file_removal": ("delete",),
-    }
+# fixed values: behaviours of compiled code: kind, category, evidence
+BEHAVIOURS = (
+    ("wsh_warning_suppression", "registry", (r"HKEY_CURRENT_USER\SOFTWARE\Microsoft\Windows Script Host\Settings",)),
+    ("script_payload_staging", "com", ("ADODB.Stream", "ScriptControl")),
+    ("wsf_payload_output", "file", (".WSF", "ScriptControl")),
+    ("reactor_persistence", "persistence", ("[VLR-DWG-Reactor",)),
+    ("timestamped_artifact_naming", "naming", ("M=$(edtime,$(getvar,date),MSECDDYYMOMMHHSS)", "M=$(edtime,$(getvar,date),YYMODD)")),
+    ("file_search_copy_propagation", "propagation", ("findfile", "vl-file-copy")),
+)
+# fixed values: texts and called names that behaviours are known by
+BEHAVIOUR_TEXTS = {
+    "settings": r"windows script host\settings", "control": "scriptcontrol", "stream": "adodb.stream", "wsf": ".wsf", "reactor": "vlr-dwg-reactor",
+    "stamp": "$(edtime,$(getvar,date)", "edtime": "edtime", "find": "findfile", "copy": "vl-file-copy",
+}
+BEHAVIOUR_CALLS = {"control": "scriptcontrol", "reactor": "vlr-dwg-reactor", "getvar": "getvar", "find": "findfile", "copy": "vl-file-copy"}
+
+
+def behaviours(instr: DataFrame, strings: DataFrame | None = None) -> DataFrame:
+    """``(sample_id, kind, category, functions, evidence)`` of what strings
+    and calls of a compiled file show together.
+
+    ``instr`` as :func:`instructions` gives it, ``strings(sample_id, value)``
+    the file's string table (strings that code pushes count as well).
+    Functions are the frames of the calls, or of the strings where those are
+    what a behaviour is known by.
+    """
+    text, pushed, call = F.lower("text"), F.col("name") == "PUSH_CONST", F.col("name").isin(*CALLS)
+    none = F.lit(None).cast("int")
+    rows = instr.where(F.col("text").isNotNull() & (pushed | call)).select("sample_id", "frame", text.alias("t"), call.alias("call"))
+    if strings is not None:
+        rows = rows.unionByName(strings.where("value is not null").select("sample_id", none.alias("frame"), F.lower("value").alias("t"), F.lit(False).alias("call")))
+    t, c = F.col("t"), F.col("call")
+    has = {k: ~c & F.contains(t, F.lit(w)) for k, w in BEHAVIOUR_TEXTS.items()}
+    calls = {k: c & (t == w) for k, w in BEHAVIOUR_CALLS.items()}
+    where = lambda x: F.array_sort(F.collect_set(F.when(x, F.col("frame"))))
+    per = rows.groupBy("sample_id").agg(
+        *[F.bool_or(x).alias(f"s_{k}") for k, x in has.items()], *[F.bool_or(x).alias(f"c_{k}") for k, x in calls.items()],
+        *[where(calls[k]).alias(f"f_{k}") for k in ("control", "reactor")], where(calls["find"] | calls["copy"]).alias("f_files"),
+        where(has["settings"]).alias("f_settings"), where(has["stamp"]).alias("f_stamp"),
+    )
+    s, k = (lambda x: F.col(f"s_{x}")), (lambda x: F.col(f"c_{x}"))
+    shown = (
+        (s("settings"), "f_settings"),
+        ((s("control") | k("control")) & s("stream"), "f_control"),
+        ((s("control") | k("control")) & s("wsf"), "f_control"),
+        (s("reactor") | k("reactor"), "f_reactor"),
+        (s("stamp") | k("getvar") & s("edtime"), "f_stamp"),
+        (s("find") | k("find") | s("copy") | k("copy"), "f_files"),
+    )
     each = [
-        F.when(F.col(k[0]) & F.col(k[-1]), F.struct(F.lit(n).alias("kind"), F.array_sort(F.array_distinct(F.concat(f"{k[0]}_in", f"{k[-1]}_in"))).alias("functions")))
-        for n, k in kinds.items()
+        F.when(seen, F.struct(F.lit(kind).alias("kind"), F.lit(category).alias("category"), F.col(fns).alias("functions"), F.array(*map(F.lit, evidence)).alias("evidence")))
+        for (kind, category, evidence), (seen, fns) in zip(BEHAVIOURS, shown)
     ]
     return per.select("sample_id", F.explode(F.array_compact(F.array(*each))).alias("b")).select("sample_id", "b.*")
+
+
+def recovered_functions(instr: DataFrame) -> DataFrame:
+    """``(sample_id, fn)`` of the functions of compiled code."""
+    return instr.where(F.col("name").isin(*FRAMES)).select("sample_id", frame_name(F.col("position")).alias("fn")).distinct()
+
+
+def recovered_calls(instr: DataFrame) -> DataFrame:
+    """``(sample_id, fn, name, line)`` of the calls of compiled code."""
+    rows = instr.where(F.col("name").isin(*CALLS) & F.col("frame").isNotNull() & F.col("text").isNotNull())
+    return rows.select("sample_id", frame_name(F.col("frame")).alias("fn"), F.lower("text").alias("name"), F.lit(None).cast("int").alias("line"))
+
+
+def recovered_aliases(instr: DataFrame) -> DataFrame:
+    """``(sample_id, fn, name, target)``: names that code binds functions to,
+    taken from a definition's symbol and the function pushed before it."""
+    w = Window.partitionBy("sample_id").orderBy("seq")
+    made = F.when(F.lag("name", 1).over(w) == "FUNC", F.lag("position", 1).over(w))
+    rows = instr.withColumn("made", made).where((F.col("name") == "SETQ_DEFUN") & F.col("text").isNotNull() & F.col("made").isNotNull())
+    return rows.select("sample_id", F.lit("__toplevel__").alias("fn"), F.lower("text").alias("name"), frame_name(F.col("made")).alias("target"))
+
+
+def frame_name(frame: Column) -> Column:
+    return F.format_string("fn_%04x", frame)
