@@ -209,6 +209,59 @@ SELECT DISTINCT least(x, y) AS row_id_a, greatest(x, y) AS row_id_b FROM found""
 ).replace("'\\\\'", "'\\'")
 
 
+_CLASSES = """
+cls AS (SELECT id, side, f, md5(string_agg(g, '|' ORDER BY g)) AS c FROM runs GROUP BY ALL),
+grp AS (SELECT side, f, c, min(id) AS class_id, count(*) AS class_rows FROM cls GROUP BY ALL),
+rep AS (SELECT r.* FROM runs r JOIN grp ON class_id = r.id AND grp.f = r.f AND grp.side = r.side)"""
+
+_P2_CLASSES = (
+    """WITH vals AS (
+    SELECT row_id AS id, 0 AS side, 0 AS f, text AS v FROM baseline_sample WHERE text IS NOT NULL
+    UNION ALL SELECT row_id, 0, 1, semantic FROM baseline_sample WHERE semantic IS NOT NULL
+), """
+    + _RUNS
+    + ","
+    + _CLASSES
+    + """, shared AS (
+    SELECT a.f, a.id AS x, b.id AS y, count(*) AS o FROM rep a JOIN rep b ON a.f = b.f AND a.g = b.g AND a.id < b.id GROUP BY ALL
+), links AS (
+    SELECT s.f, x, y FROM shared s JOIN sizes p ON p.id = s.x AND p.f = s.f JOIN sizes q ON q.id = s.y AND q.f = s.f WHERE o >= 0.6 * (p.n + q.n - o) - 1e-9
+), deg AS (SELECT f, e AS class_id, count(*) AS links FROM (SELECT f, unnest([x, y]) AS e FROM links) GROUP BY ALL)
+SELECT cls.id AS row_id, cls.f AS field, grp.class_id, class_rows, coalesce(links, 0) AS links FROM cls JOIN grp USING (side, f, c) LEFT JOIN deg ON deg.f = cls.f AND deg.class_id = grp.class_id"""
+)
+
+_P3_LINKS = (
+    """WITH vals AS (
+    SELECT row_id AS id, CASE WHEN split = 'train' THEN 0 ELSE 1 END AS side, 0 AS f, text AS v
+    FROM baseline_sample WHERE text IS NOT NULL AND split IN ('train', 'dev', 'test')
+), """
+    + _RUNS
+    + ","
+    + _CLASSES
+    + """, shared AS (
+    SELECT a.id AS x, b.id AS y, count(*) AS o FROM rep a JOIN rep b ON a.g = b.g WHERE a.side = 0 AND b.side = 1 GROUP BY ALL
+), links AS (SELECT x, y, o / n AS held FROM shared JOIN sizes q ON q.id = y WHERE o >= 0.75 * n - 1e-9)"""
+)
+
+_P3_CLASSES = (
+    _P3_LINKS
+    + """, deg AS (SELECT side, class_id, count(*) AS links FROM (SELECT 0 AS side, x AS class_id FROM links UNION ALL SELECT 1, y FROM links) GROUP BY ALL)
+SELECT cls.id AS row_id, CASE WHEN cls.side = 0 THEN 'train' ELSE 'evaluation' END AS side, grp.class_id, class_rows, coalesce(links, 0) AS links
+FROM cls JOIN grp USING (side, f, c) LEFT JOIN deg ON deg.side = cls.side AND deg.class_id = grp.class_id"""
+)
+
+_P3_REPORT = (
+    _P3_LINKS
+    + r""", best AS (SELECT y, max(held) AS held FROM links GROUP BY y),
+hit AS (SELECT id, held FROM cls JOIN grp USING (side, f, c) JOIN best ON y = class_id WHERE cls.side = 1),
+keys AS (SELECT DISTINCT lower(replace(sample, '\', '/')) AS k FROM baseline_sample WHERE split = 'train' AND sample IS NOT NULL),
+ev AS (SELECT row_id, split, lower(replace(sample, '\', '/')) AS k FROM baseline_sample WHERE split IN ('dev', 'test'))
+SELECT split, string_split(k, '/')[1] AS repository, count(*) AS records, count(held) AS text_overlaps, count(keys.k) AS sample_overlaps, count(CASE WHEN held IS NOT NULL OR keys.k IS NOT NULL THEN 1 END) AS overlaps,
+ round(count(CASE WHEN held IS NOT NULL OR keys.k IS NOT NULL THEN 1 END) / count(*), 6) AS overlap_rate, round(avg(held), 6) AS mean_overlap
+FROM (SELECT ev.*, hit.held FROM ev LEFT JOIN hit ON hit.id = ev.row_id) LEFT JOIN keys USING (k) GROUP BY 1, 2"""
+).replace("'\\\\'", "'\\'")
+
+
 _P5 = """WITH once AS (
     SELECT eval_id, min_by(lower(trim(input_type)), ingest_ts) AS input_type, min_by(total_ms, ingest_ts) AS total_ms,
            min_by(parse_ms, ingest_ts) AS parse_ms, min_by(ir_ms, ingest_ts) AS ir_ms
@@ -244,7 +297,8 @@ SELECT id AS stat_id, group_id FROM (SELECT id, min(id) OVER (PARTITION BY root)
 
 _P1 = f"""WITH n AS (
     SELECT nullif(lower(trim(sha256)), '') AS item, nullif(lower(trim(engine)), '') AS who, scanned_at, label_id,
-           list_filter(regexp_extract_all(lower(result), '[a-z]+'), lambda w: length(w) >= 4 AND w NOT IN ({", ".join(f"'{w}'" for w in annotators.GENERIC_WORDS)}))[1] AS label
+           coalesce(list_filter(regexp_extract_all(lower(result), '\\p{{L}}+'), lambda w: length(w) >= 4 AND w NOT IN ({", ".join(f"'{w}'" for w in annotators.GENERIC_WORDS)}))[1],
+            list_filter(regexp_extract_all(lower(result), '\\p{{L}}+'), lambda w: CASE WHEN regexp_matches(w, '^[a-z]+$') THEN length(w) = 3 ELSE length(w) BETWEEN 2 AND 3 END AND w NOT IN ({", ".join(f"'{w}'" for w in annotators.GENERIC_SHORT_WORDS)}))[1]) AS label
     FROM engine_labels
 ), v AS (
     SELECT item, who, arg_max(label, struct_pack(a := scanned_at, b := label_id)) AS label FROM n
@@ -258,4 +312,4 @@ SELECT items, ratings, round(o / ratings, 6) AS observed, round((ratings::DOUBLE
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_agreement": _P1, "p2_found": _P2, "p3_found": _P3, "p5_percentiles": _P5, "p6_found": _P6}
+    return {"p1_agreement": _P1, "p2_found": _P2, "p2_classes": _P2_CLASSES, "p3_found": _P3, "p3_classes": _P3_CLASSES, "p3_report": _P3_REPORT, "p5_percentiles": _P5, "p6_found": _P6}
