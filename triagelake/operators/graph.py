@@ -151,15 +151,12 @@ def strong_components(edges: DataFrame, walked: int = WALKED) -> DataFrame:
     of larger ones are coloured by joins over their edges.
     """
     e = edges.select("sample_id", "caller", "callee").where("caller <> callee").distinct()
-    size = staged(e.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")))
-    large = size.where(F.col("n") > walked).select("sample_id")
-    # of functions without calls in or out none is on a cycle
     e = staged(e)
-    busy = e.join(e.select("sample_id", F.col("callee").alias("caller")).distinct(), ["sample_id", "caller"], "left_semi").select("sample_id").distinct()
-    small = e.join(size.where(F.col("n") <= walked), "sample_id", "left_semi").join(busy, "sample_id", "left_semi")
-    found = _per_graph(small, _cycles, "fn string, component string")
+    large = e.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > walked).select("sample_id")
     if large.isEmpty():
-        return found
+        return _per_graph(e, _cycles, "fn string, component string")
+    large = staged(large)
+    found = _per_graph(e.join(large, "sample_id", "left_anti"), _cycles, "fn string, component string")
     return found.unionByName(_coloured(staged(e.join(large, "sample_id", "left_semi"))))
 
 

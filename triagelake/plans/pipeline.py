@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from triagelake.operators import recovery as V
 from triagelake.operators import rules as R
 from triagelake.operators import scoring as S
 from triagelake.operators import techniques as T
-from triagelake.session import staged
+from triagelake.session import staged, together
 from triagelake.sources import bytecode as B
 from triagelake.sources import lisp
 
@@ -89,10 +90,10 @@ def script_facts(samples: DataFrame, extra: Recovered | None = None) -> Facts:
 
 def formal(f: Facts) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(predicates, formal score, motifs) from call graph and effects."""
-    edges = staged(G.call_targets(f.calls, f.functions, f.aliases))
-    entries = staged(E.entry_points(f.functions))
-    metrics = staged(G.component_metrics(G.strong_components(edges), edges, f.effects))
-    spreads = staged(G.spread(G.closure(edges, entries), entries, f.effects))
+    edges, entries = together(lambda: staged(G.call_targets(f.calls, f.functions, f.aliases)), lambda: staged(E.entry_points(f.functions)))
+    metrics, spreads = together(
+        lambda: staged(G.component_metrics(G.strong_components(edges), edges, f.effects)), lambda: staged(G.spread(G.closure(edges, entries), entries, f.effects))
+    )
     predicates = G.worm_predicate(metrics).unionByName(G.stealth_predicate(f.effects)).unionByName(G.spread_predicate(spreads))
     motifs = G.cycle_motifs(metrics, G.back_edges(edges)).unionByName(G.chain_motifs(f.effects, edges))
     return predicates, S.formal_score(metrics, spreads, f.effects), motifs
@@ -103,19 +104,19 @@ def scores(samples: DataFrame, p: S.Parameters = S.Parameters(), extra: Recovere
     effects recovered from its compiled form."""
     f = script_facts(samples, extra)
     nodes = R.top_nodes(f.nodes)
-    hits = staged(R.rule_hits(f.effects, nodes))
-    found = staged(T.techniques(f.effects, nodes))
+    hits, found, (predicates, final, _) = together(lambda: staged(R.rule_hits(f.effects, nodes)), lambda: staged(T.techniques(f.effects, nodes)), lambda: formal(f))
     by_rule = S.rule_evidence(hits, p)
     named = found.where(F.col("technique").isin(*[t[0] for t in T.V.TECHNIQUES]))
     by_technique = named.groupBy("sample_id").agg(F.avg("confidence").alias("attack_evidence"), F.count(F.lit(1)).alias("techniques"))
     severity = f.effects.join(by_rule.select("sample_id", "vba_rule"), "sample_id", "left").select("sample_id", S.effect_severity(F.col("vba_rule")).alias("x"))
     by_effect = severity.groupBy("sample_id").agg(F.avg("x").alias("feature_evidence"), F.count(F.lit(1)).alias("effects"))
-    predicates, final, _ = formal(f)
     context = S.context_score(f.effects, E.tags(f.effects), E.lifted(f.effects))
     first = F.min_by(F.struct("path", "input_type", F.col("text").isNotNull().alias("t")), "path")
-    base = samples.groupBy("sample_id").agg(first.alias("r")).where("true" if extra is not None else "r.t").select("sample_id", "r.path", "r.input_type")
-    for part in (by_rule.drop("vba_rule"), by_technique, T.technique_risk(found), by_effect, S.formal_evidence(predicates, final), context):
-        base = base.join(part, "sample_id", "left")
+    base = samples.groupBy("sample_id").agg(first.alias("r")).where("true" if extra is not None else "r.t").select("sample_id", "r.path", "r.input_type", F.lit(True).alias("_here"))
+    # each part has one row a sample: one aggregate puts them side by side
+    parts = [base, by_rule.drop("vba_rule"), by_technique, T.technique_risk(found), by_effect, S.formal_evidence(predicates, final), context]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    base = rows.groupBy("sample_id").agg(*[F.max(c).alias(c) for c in rows.columns if c != "sample_id"]).where("_here")
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     risk = S.risk(p, z("rule_evidence"), z("attack_evidence"), z("feature_evidence"), z("formal_evidence"), z("context_score"), z("floor"))
     out = base.select(

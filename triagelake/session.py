@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,28 @@ def _remove(path: str) -> None:
         shutil.rmtree(local, ignore_errors=True)
 
 
+def together(*steps):
+    """Results of independent steps that each run jobs of their own, side by
+    side, so that small jobs don't wait for each other."""
+    out: list = [None] * len(steps)
+    failed: list[BaseException] = []
+
+    def run(k: int) -> None:
+        try:
+            out[k] = steps[k]()
+        except BaseException as e:  # raised where the steps were asked for
+            failed.append(e)
+
+    threads = [InheritableThread(target=run, args=(k,)) for k in range(len(steps))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    if failed:
+        raise failed[0]
+    return out
+
+
 def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut.
 
